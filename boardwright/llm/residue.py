@@ -47,7 +47,7 @@ FILLER_PHRASES = (
     r"\bdo not publish\b", r"\btodo:? add\b", r"\b(?:enter|insert|add|type|write) (?:your |the |a )?(?:title|heading|headline|text|name|subject) here\b",
     r"\byour (?:title|heading|headline|text|name|content) here\b", r"यहाँ लिखें", r"\bsample (?:notice|post|job|page) title\b", r"\bdummy (?:entry|text|title|post)\b",
 )
-#: Filler and failures that count where they are all of a part of the title.
+#: Filler and failures that count where they are the whole title, or all of it but a short tail.
 WHOLE_PARTS = (
     r"placeholder", r"undefined", r"null", r"none", r"nan(?: posts?)?", r"loading", r"untitled(?: document| page| post)?", r"new page(?: \d+)?", r"heading \d+",
     r"hello world", r"title of the post", r"post title", r"title", r"qwerty", r"(?:asdf\s*)+", r"(?:abc\s+)+abc", r"(?:test\s+)+\d*", r"test", r"foo(?: bar(?: baz)?)?",
@@ -98,7 +98,7 @@ def residue_kind(text: Column) -> Column:
     filled = F.regexp_replace(outside, _any(PLACEHOLDERS), "")
     density = 1 - F.length(filled) / F.greatest(F.length(outside), F.lit(1))
     tutorial = low.rlike(_TUTORIAL) & (density < 0.5)
-    part = rf"(?:^|{_SEP}){_ENDS}{_any(WHOLE_PARTS)}{_ENDS}(?:$|{_SEP})"
+    part = rf"^{_ENDS}{_any(WHOLE_PARTS)}{_ENDS}(?:$|{_SEP}(?:\s*[^\s|]+){{0,4}}\s*$)"
     return (
         F.when(low == "", None)
         .when(outside.rlike(_any(PLACEHOLDERS)) & ~tutorial, "placeholder")
