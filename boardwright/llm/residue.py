@@ -67,6 +67,8 @@ PLACEHOLDERS = (
     rf"\(\s*(?:enter|insert)\s+(?:the\s+|your\s+)?(?:{_F}\b)[^()]{{0,40}}\)", rf"\bxx+\s+{_F}(?:\s+(?:of\s+)?{_F})*\s+xx+\b",
     r"(?<![\w$])\$[a-z_]\w*(?:[.]\w+)*", r"(?<![\S])%[sd](?![\w%])", rf"\b(?:name of post|post title|designation|department|number) (?:goes here|to be filled)\b",
 )
+#: What every placeholder has; a text without needs no further look for one.
+_MARKS = r"[{}<>%$@«»]|__|\[\[|&lt;|\[[^\]]{0,60}\b(?:insert|enter|add|type|fill|here|filled|inserted)\b|\(\s*(?:enter|insert)\b|\bxx|goes here|to be filled"
 _CODE_BLOCK = r"(?s)```.*?```|`[^`\n]+`|<(?:pre|code)\b.*?</(?:pre|code)>"
 _TUTORIAL = r"\b(?:tutorials?|syntax|documentation|for example|e\.g\.|how to (?:use|write)|template (?:language|engine|variable)s?|placeholders? (?:like|such as)|string interpolation)\b"
 _ENDS = r"[\s.,!…\"'“”‘’*•»-]*"
@@ -91,27 +93,34 @@ def cleaned(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(low, r"[\s\p{Z}]+", " ")), F.lit(""))
 
 
-def residue_kind(text: Column) -> Column:
-    """'placeholder', 'filler', 'error', 'script', or null for text that is none of these (null and empty text too)."""
-    low = cleaned(text)
-    outside = F.trim(F.regexp_replace(low, _CODE_BLOCK, " "))
+def _kind(low: Column) -> Column:
+    """The kind of a text that is clean already; each costly grammar runs only where its marks are seen."""
+    marked = low.rlike(_MARKS)
+    outside = F.when(low.rlike(r"`|<(?:pre|code)\b"), F.trim(F.regexp_replace(low, _CODE_BLOCK, " "))).otherwise(low)
     filled = F.regexp_replace(outside, _any(PLACEHOLDERS), "")
-    density = 1 - F.length(filled) / F.greatest(F.length(outside), F.lit(1))
-    tutorial = low.rlike(_TUTORIAL) & (density < 0.5)
+    sparse = (1 - F.length(filled) / F.greatest(F.length(outside), F.lit(1))) < 0.5
+    tutorial = low.rlike(_TUTORIAL)
     part = rf"^{_ENDS}{_any(WHOLE_PARTS)}{_ENDS}(?:$|{_SEP}(?:\s*[^\s|]+){{0,4}}\s*$)"
+    phrase = lambda patterns: outside.rlike(rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_any(patterns)}")
     return (
         F.when(low == "", None)
-        .when(outside.rlike(_any(PLACEHOLDERS)) & ~tutorial, "placeholder")
+        .when(marked & outside.rlike(_any(PLACEHOLDERS)) & ~(tutorial & sparse), "placeholder")
         .when(tutorial, None)
-        .when(outside.rlike(_any(SCRIPT_PHRASES)), "script")
-        .when(outside.rlike(_any((*ERROR_PHRASES, *STATUS_LINES))), "error")
-        .when(outside.rlike(_any(FILLER_PHRASES)) | outside.rlike(part), "filler")
+        .when(phrase(SCRIPT_PHRASES), "script")
+        .when(phrase((*ERROR_PHRASES, *STATUS_LINES)), "error")
+        .when(phrase(FILLER_PHRASES) | outside.rlike(part), "filler")
     )
 
 
+def residue_kind(text: Column) -> Column:
+    """'placeholder', 'filler', 'error', 'script', or null for text that is none of these (null and empty text too)."""
+    return _kind(cleaned(text))
+
+
 def residue(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind) of the rows whose text is, or contains, residue. A narrow map: no shuffle, no Python."""
-    return rows.select(key, residue_kind(F.col(text)).alias("kind")).filter("kind is not null")
+    low = rows.select(F.col(key).alias("key"), cleaned(F.col(text)).alias("low"))
+    return low.select(F.col("key").alias(key), _kind(F.col("low")).alias("kind")).filter("kind is not null")
 
 
 def without_residue(rows: DataFrame, text: str) -> DataFrame:
