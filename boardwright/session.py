@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per context, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_boardwright_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.suffix != ".zip" and root.is_dir():
+        target = os.path.join(tempfile.mkdtemp(prefix="boardwright-"), "boardwright.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(target)
+    sc._boardwright_shipped = True
