@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from boardwright.functions.text import title_form
 from boardwright.llm.blocking import alike, block_maker, close, slot_counts, titled
 from boardwright.llm.blocking import BLOCK_SCHEMA
-from boardwright.llm.components import components
+from boardwright.operators.components import components
 from boardwright.session import materialize
 
 
