@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from boardwright.llm import copies, linkage, mixing, neardups, packing, residue, spans, survivors
+from boardwright.llm.oracles import oracle_sql as oracle_sql
 from boardwright.session import materialize, read_table, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +81,3 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_collapsed, p3_found, p3_kinds, p4_found, p4_truth, p5_found, p5_links, p8_pack, p8_fill, p9_mix, p9_shares, p10_found)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
