@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,28 +53,58 @@ def markdown_rows(postings: DataFrame, orgs: DataFrame, tie: str) -> DataFrame:
 CHUNK = 1900
 
 
-def chunk_lines(pdf: pd.DataFrame, limit: int = CHUNK, intro: str = "New postings\n") -> pd.DataFrame:
+class Chunker:
     """Messages of one channel: a line opens a new message when it and its header no longer fit.
 
     The header comes again before every line while the message doesn't begin with it.
     """
-    out, chunk = [], intro
-    for r in pdf.sort_values("ord").itertuples(index=False):
-        head, line = f"**{r.name}**\n", f"- {r.title} {r.link}\n"
-        section = "" if chunk.startswith(head) else head
-        if len(chunk) + len(section) + len(line) > limit and chunk:
-            out.append(chunk)
-            chunk, section = "", head
-        chunk += section + line
-    if chunk:
-        out.append(chunk)
-    return pd.DataFrame({"channel": pdf["channel"].iloc[0], "chunk_no": range(len(out)), "text": out})
+
+    def __init__(self, limit: int = CHUNK, intro: str = "New postings\n"):
+        self.limit, self.text, self.number = limit, intro, 0
+
+    def add(self, name: str, title: str, link: str) -> list[tuple[int, str]]:
+        """The messages that this line completes."""
+        head, line, done = f"**{name}**\n", f"- {title} {link}\n", []
+        section = "" if self.text.startswith(head) else head
+        if self.text and len(self.text) + len(section) + len(line) > self.limit:
+            done = self.end()
+            section = head
+        self.text += section + line
+        return done
+
+    def end(self) -> list[tuple[int, str]]:
+        done = [(self.number, self.text)] if self.text else []
+        self.number, self.text = self.number + 1, ""
+        return done
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    channel, chunker = None, None
+    names = ["channel", "chunk_no", "text"]
+
+    def rows(done: list[tuple[int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([channel] * len(done), pa.string()), pa.array([n for n, _ in done], pa.int32()), pa.array([t for _, t in done], pa.string())], names)
+
+    for b in batches:
+        for c, *line in zip(*(b.column(x).to_pylist() for x in ("channel", "name", "title", "link"))):
+            if chunker is None or c != channel:
+                if chunker:
+                    yield rows(chunker.end())
+                channel, chunker = c, Chunker()
+            if done := chunker.add(*(x or "" for x in line)):
+                yield rows(done)
+    if chunker:
+        yield rows(chunker.end())
 
 
 def chat_chunks(alerts: DataFrame) -> DataFrame:
-    """(channel, chunk_no, text) of alerts (channel, ord, name, title, link): a fold per channel, whose state is the text
-    of the message under way. A channel's alerts of a run are sent in order, so one task folds them."""
-    return alerts.groupBy("channel").applyInPandas(chunk_lines, "channel string, chunk_no int, text string")
+    """(channel, chunk_no, text) of alerts (channel, ord, name, title, link).
+
+    A fold per channel over its sorted alerts, whose state is the message under way: rows stream through the task that
+    has the channel, they aren't gathered.
+    """
+    placed = alerts.select("channel", "ord", "name", "title", "link").repartition("channel").sortWithinPartitions("channel", "ord")
+    return placed.mapInArrow(_chunks, "channel string, chunk_no int, text string")
 
 
 def mail_sections(postings: DataFrame, orgs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,15 +62,23 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, points: DataFrame, key: str, vec: str, k: int, most_queries: int = 10_000) -> DataFrame:
     """(query, rank, key, cosine) of the k nearest other points of each query.
 
-    A stated set of queries against all points: the queries, at most most_queries of them at a time, are broadcast and
-    each partition of points keeps its k best per query before the shuffle. Ties go by key.
+    A stated set of queries against all points: the queries are broadcast in blocks of about most_queries, and each
+    partition of points keeps its k best per query before the shuffle. Ties go by key; rows without a vector are left out.
     """
+    queries = queries.filter(F.col(vec).isNotNull())
+    number = queries.count()
+    blocks = -(-number // most_queries)
+    if blocks > 1:
+        parts = [queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) for i in range(blocks)]
+        return reduce(lambda a, b: a.unionByName(b), [_nearest(p, points, key, vec, k) for p in parts])
+    return _nearest(queries, points, key, vec, k)
+
+
+def _nearest(queries: DataFrame, points: DataFrame, key: str, vec: str, k: int) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select(key, vec).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: run them in blocks")
+    rows = queries.select(key, vec).collect()  # one block
     spark = points.sparkSession
     schema = "query long, key long, cosine double"
     if not rows:

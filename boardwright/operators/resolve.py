@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,46 +39,80 @@ def allow_links(postings: DataFrame, orgs: DataFrame, everywhere: tuple[str, ...
 
 
 #: Titles that never identify a posting.
-GENERIC_KEYS = ("view", "download", "click here", "apply online", "apply", "details", "read more", "pdf", "advertisement", "notification")
+GENERIC_KEYS = ("notification", "recruitment", "careers", "jobs", "vacancy", "advertisement", "click here", "view", "details", "heading")
 #: Most rows that one scan may hold before an org's rows are split into independent parts.
 SCAN_ROWS = 200_000
 _RANK = {"relevant": 2, "uncertain": 1, "excluded": 0}
 MERGED = "org_key string, group_pos long, title string, link string, apply_link string, pdf_link string, date string, relevance string, members long"
 
 
-def merge_org(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One org's postings in order: each joins the first group that it fits, or begins one."""
-    groups: list[dict] = []
-    by_url: dict[str, set[int]] = {}
-    by_title: dict[str, list[int]] = {}
-    for r in pdf.sort_values("pos").itertuples(index=False):
-        slot = "pdf" if r.is_pdf else "apply"
-        fits = set(by_url.get(r.url, ())) if r.url else set()
-        if len(r.title_key) > 8 and r.title_key not in GENERIC_KEYS:
-            for g in by_title.get(r.title_key, ()):
-                if not groups[g][slot]:
-                    fits.add(g)
-                    break
-        if fits:
+class Scan:
+    """The groups of one scan: each posting joins the first group that it fits, or begins one."""
+
+    def __init__(self):
+        self.groups: list[dict] = []
+        self.by_url: dict[str, set[int]] = {}
+        self.by_title: dict[str, list[int]] = {}
+
+    def add(self, pos: int, title: str, link: str, date: str, relevance: str, title_key: str, url: str, is_pdf: bool) -> None:
+        slot = "pdf" if is_pdf else "apply"
+        fits = set(self.by_url.get(url, ())) if url else set()
+        if len(title_key) > 8 and title_key not in GENERIC_KEYS:
+            fits |= {next(g for g in self.by_title[title_key] if not self.groups[g][slot])} if self._open(title_key, slot) else set()
+        if not fits:
+            at = len(self.groups)
+            self.groups.append({"pos": pos, "title": title, "date": date, "relevance": relevance, "apply": "", "pdf": "", "members": 1})
+            self.by_title.setdefault(title_key, []).append(at)
+        else:
             at = min(fits)
-            g = groups[at]
-            g["date"] = g["date"] or r.date
-            if _RANK.get(r.relevance, 0) > _RANK.get(g["relevance"], 0):
-                g["relevance"] = r.relevance
+            g = self.groups[at]
+            g["date"] = g["date"] or date
+            g["relevance"] = max(g["relevance"], relevance, key=lambda r: _RANK.get(r, 0))
             g["members"] += 1
-            if not g[slot]:
-                g[slot], g[slot + "_key"] = r.link, r.url
-                if r.url:
-                    by_url.setdefault(r.url, set()).add(at)
-        else:
-            at = len(groups)
-            groups.append({"pos": r.pos, "title": r.title, "date": r.date, "relevance": r.relevance, "apply": "", "pdf": "", "members": 1})
-            groups[at][slot] = r.link
-            if r.url:
-                by_url.setdefault(r.url, set()).add(at)
-            by_title.setdefault(r.title_key, []).append(at)
-    key = pdf["org_key"].iloc[0]
-    return pd.DataFrame([(key, g["pos"], g["title"], g["apply"] or g["pdf"], g["apply"], g["pdf"], g["date"], g["relevance"], g["members"]) for g in groups], columns=["org_key", "group_pos", "title", "link", "apply_link", "pdf_link", "date", "relevance", "members"])
+        if not self.groups[at][slot]:
+            self.groups[at][slot] = link
+            if url:
+                self.by_url.setdefault(url, set()).add(at)
+
+    def _open(self, title_key: str, slot: str) -> bool:
+        return any(not self.groups[g][slot] for g in self.by_title.get(title_key, ()))
+
+    def rows(self, key: str) -> list[tuple]:
+        return [(key, g["pos"], g["title"], g["apply"] or g["pdf"], g["apply"], g["pdf"], g["date"], g["relevance"], g["members"]) for g in self.groups]
+
+
+def _scans(by: list[str], with_run: bool):
+    """Scans one after the other over rows that are sorted by ``by`` and pos."""
+    names = (["run"] if with_run else []) + [f.split(" ")[0] for f in MERGED.split(", ")]
+    kinds = ([pa.int64()] if with_run else []) + [pa.string(), pa.int64(), *[pa.string()] * 6, pa.int64()]
+    fields = ("pos", "title", "link", "date", "relevance", "title_key", "url", "is_pdf")
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, scan, out = None, None, []
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in by))
+            for k, r in zip(keys, zip(*(b.column(c).to_pylist() for c in fields))):
+                if k != key:
+                    if scan:
+                        out += ended(key, scan)
+                    key, scan = k, Scan()
+                scan.add(*r)
+            if len(out) > 10_000:
+                yield batch(out)
+                out = []
+        if scan:
+            out += ended(key, scan)
+        yield batch(out)
+
+    def ended(key: tuple, scan: Scan) -> list[tuple]:
+        named = dict(zip(by, key))
+        lead = (named["_run"],) if with_run else ()
+        return [lead + r for r in scan.rows(named["org_key"])]
+
+    return run
 
 
 def merge_postings(postings: DataFrame, run: str | None = None, key: Column | None = None) -> DataFrame:
@@ -90,7 +126,7 @@ def merge_postings(postings: DataFrame, run: str | None = None, key: Column | No
     """
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = postings.filter("org_key is not null").select(
-        *([F.col(run).alias("_run")] if run else []), "org_key", "pos", text("title"), text("link"), text("date"), text("relevance"),
+        *([F.col(run).cast("long").alias("_run")] if run else []), "org_key", "pos", text("title"), text("link"), text("date"), text("relevance"),
     )
     link = F.coalesce(F.col("link"), F.lit(""))
     rows = rows.select("*", title_key(F.col("title")).alias("title_key"), (url_key(link) if key is None else key).alias("url"), is_pdf_link(link).alias("is_pdf"))
@@ -98,16 +134,8 @@ def merge_postings(postings: DataFrame, run: str | None = None, key: Column | No
     most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if most > SCAN_ROWS:
         rows, by = split_scans(rows, by), [*by, "part"]
-    if not run:
-        return rows.groupBy(*by).applyInPandas(merge_org, MERGED)
-    schema = "run long, " + MERGED
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = merge_org(pdf)
-        out.insert(0, "run", pdf["_run"].iloc[0])
-        return out
-
-    return rows.groupBy(*by).applyInPandas(one, schema)
+    placed = rows.repartition(*by).sortWithinPartitions(*by, "pos")
+    return placed.mapInArrow(_scans(by, bool(run)), ("run long, " if run else "") + MERGED)
 
 
 def split_scans(rows: DataFrame, by: list[str]) -> DataFrame:
