@@ -10,6 +10,10 @@ with a rare word among them), so no block is crowded by stock phrases. Where the
 block ends at the least overlap that a pair of the greater size M needs, and holds M in its key. The rule depends on
 the words alone, so both titles of a pair cut the same block. The order is by exact counts in ORDER_SLOTS hash slots,
 a table of fixed size at any scale; any common order is correct, a good one is selective.
+
+Growing blocks would be too many for long titles. Pairs whose greater size exceeds SHORT meet in blocks of fixed
+length instead: pairs of the rarest words up to MIDDLE, single rarest words beyond. Shorter titles cut such blocks
+only to meet a longer one.
 """
 
 from __future__ import annotations
@@ -24,6 +28,10 @@ from pyspark.sql import functions as F
 from boardwright.functions.text import title_form, title_words
 
 LEAST_WORDS = 6
+#: Greatest sizes of pairs that growing blocks and two-word blocks are for, and the least size that can meet a longer title.
+SHORT, MIDDLE = 16, 40
+MEETS_LONG = -(-(SHORT + 1) * 7 // 10)
+_MANY = -(2**63)
 ORDER_SLOTS = 1 << 16
 #: A word is rare if it stands in fewer than one title in 2 ** RARE_BITS.
 RARE_BITS = 10
@@ -37,13 +45,17 @@ def titled(rows: DataFrame, key: str, title: str = "title") -> DataFrame:
     return words.select("key", "title", F.transform("w", lambda w: F.xxhash64(w)).alias("ws"), F.xxhash64("w", title_form(F.col("title"))).alias("nid"))
 
 
-def slot_counts(titles: DataFrame) -> np.ndarray:
-    """Exact number of titles' words in each slot, over all titles (ORDER_SLOTS numbers to the driver)."""
-    slots = titles.select(F.explode("ws").alias("h")).groupBy(F.col("h").bitwiseAND(ORDER_SLOTS - 1).cast("int").alias("slot")).count()
-    out = np.zeros(ORDER_SLOTS, np.int64)
-    for r in slots.collect():
+def slot_counts(titles: DataFrame) -> tuple[np.ndarray, int]:
+    """Exact number of titles' words in each slot, over all titles, and the number of titles longer than SHORT.
+
+    ORDER_SLOTS numbers and one more come to the driver.
+    """
+    marked = F.when(F.size("ws") > SHORT, F.concat("ws", F.array(F.lit(_MANY)))).otherwise(F.col("ws"))
+    slot = F.when(F.col("h") == _MANY, ORDER_SLOTS).otherwise(F.col("h").bitwiseAND(ORDER_SLOTS - 1).cast("int"))
+    out = np.zeros(ORDER_SLOTS + 1, np.int64)
+    for r in titles.select(F.explode(marked).alias("h")).groupBy(slot.alias("slot")).count().collect():
         out[r["slot"]] = r["count"]
-    return out
+    return out[:-1], int(out[-1])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,16 +64,65 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cut_blocks(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, skips) of all blocks of the word sets given by flat hashes and sizes."""
-    n, row_of = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    count = np.maximum(counts[(flat & (ORDER_SLOTS - 1))], 1)
-    order = np.lexsort((flat, count, row_of))
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+Blocks = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _part(flat: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices, hashes and sizes of the word sets to keep."""
+    return np.nonzero(keep)[0], flat[np.repeat(keep, sizes)], sizes[keep]
+
+
+def _ordered(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and place of each word, and the words and their counts, rarest first in each row."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    count = np.maximum(counts[flat & (ORDER_SLOTS - 1)], 1)
+    order = np.lexsort((flat, count, row))
+    return row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), flat[order].view(np.uint64), count[order]
+
+
+def long_blocks(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> Blocks:
+    """(row, key, skips) of the blocks in which pairs meet whose greater size exceeds SHORT."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    rows, flat, sizes = _part(flat, sizes, sizes >= MEETS_LONG)
+    if len(rows):
+        row, at, words, _ = _ordered(flat, sizes, counts)
+        starts = np.cumsum(sizes) - sizes
+        for a in np.unique(sizes[sizes <= MIDDLE]):
+            i, j = np.triu_indices(a * 3 // 10 + 2, 1)
+            own = np.nonzero(sizes == a)[0]
+            first, second = words[starts[own][:, None] + i], words[starts[own][:, None] + j]
+            key = _mix(_mix(first ^ np.uint64(2)) ^ second)
+            out.append((np.repeat(rows[own], len(i)), key.ravel(), np.tile(j - 1, len(own))))
+        one = (sizes[row] * 10 // 7 > MIDDLE) & (at <= sizes[row] * 3 // 10)
+        out.append((rows[row[one]], _mix(words[one] ^ np.uint64(1)), at[one]))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def short_blocks(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, total: int) -> Blocks:
+    """(row, key, skips) of the blocks in which pairs meet whose greater size is at most SHORT."""
+    rows, flat, sizes = _part(flat, sizes, sizes <= SHORT)
+    if not len(rows):
+        return rows, np.zeros(0, np.uint64), rows
+    row, key, skips = cut_blocks(flat, sizes, counts, total)
+    return rows[row], key, skips
+
+
+def all_blocks(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, total: int, least_long: int) -> Blocks:
+    """Short blocks, and long ones of titles of at least least_long words."""
+    a = short_blocks(flat, sizes, counts, total)
+    rows, flat, sizes = _part(flat, sizes, sizes >= least_long)
+    row, key, skips = long_blocks(flat, sizes, counts)
+    return np.concatenate([a[0], rows[row]]), np.concatenate([a[1], key]), np.concatenate([a[2], skips])
+
+
+def cut_blocks(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, total: int) -> Blocks:
+    """(row, key, skips) of the growing blocks of the word sets given by flat hashes and sizes."""
+    n = len(sizes)
+    row_of, at, ordered, count = _ordered(flat, sizes, counts)
     width = int(sizes.max())
     words, bits = np.zeros((n, width), np.uint64), np.zeros((n, width), np.float32)
-    words[row_of, at] = flat[order].view(np.uint64)
-    bits[row_of, at] = np.log2(np.maximum(total / count[order], 1.0))
+    words[row_of, at] = ordered
+    bits[row_of, at] = np.log2(np.maximum(total / count, 1.0))
     enough = np.float32(np.log2(max(total, 2)))
     spare = (sizes * 3) // 10
 
@@ -95,7 +156,7 @@ def cut_blocks(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, total: i
         for more in range(int((a.max() * 10) // 7 - a.max()) + 1):
             greater = a + more
             limit = a * 3 // 10 if more == 0 else (10 * a - 7 * greater) // 17
-            ok = (greater * 7 <= a * 10) & (s["skips"] <= limit)
+            ok = (greater * 7 <= a * 10) & (greater <= SHORT) & (s["skips"] <= limit)
             if ok.any():
                 x = {k: v[ok] for k, v in s.items()}
                 x |= {"spare": limit[ok], "cap": -(-greater[ok] * 7 // 10), "key": _mix(x["key"] ^ greater[ok].astype(np.uint64))}
@@ -113,7 +174,7 @@ def fingerprints(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(bit, np.cumsum(sizes) - sizes)
 
 
-def block_maker(counts: np.ndarray, total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def block_maker(counts: np.ndarray, cut: Callable[[np.ndarray, np.ndarray], Blocks]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -122,7 +183,7 @@ def block_maker(counts: np.ndarray, total: int) -> Callable[[Iterator[pa.RecordB
             nid, keep = np.unique(nid, return_index=True)  # equal nodes cut equal blocks
             ws = b.column("ws").take(pa.array(keep))
             flat, sizes = ws.flatten().to_numpy(), ws.value_lengths().to_numpy().astype(np.int64)
-            row, key, skips = cut_blocks(flat, sizes, counts, total)
+            row, key, skips = cut(flat, sizes)
             fp = fingerprints(flat, sizes)
             cols = [key.view(np.int64), nid[row], fp.view(np.int64)[row], sizes[row].astype(np.int32), skips.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "nid", "fp", "size", "skips"])
@@ -130,9 +191,15 @@ def block_maker(counts: np.ndarray, total: int) -> Callable[[Iterator[pa.RecordB
     return make
 
 
-def blocks(titles: DataFrame, counts: np.ndarray, total: int) -> DataFrame:
-    """(key, nid, fp, size, skips) of all titles; needs nid and ws."""
-    return titles.select("nid", "ws").mapInArrow(block_maker(counts, total), BLOCK_SCHEMA)
+def blocks(titles: DataFrame, counts: np.ndarray, total: int, least_long: int | None = None, short: bool = True) -> DataFrame:
+    """(key, nid, fp, size, skips) of titles (nid, ws): short blocks, long ones from least_long words on, or both."""
+
+    def cut(flat: np.ndarray, sizes: np.ndarray) -> Blocks:
+        if least_long is None:
+            return short_blocks(flat, sizes, counts, total)
+        return all_blocks(flat, sizes, counts, total, least_long) if short else long_blocks(flat, sizes, counts)
+
+    return titles.select("nid", "ws").mapInArrow(block_maker(counts, cut), BLOCK_SCHEMA)
 
 
 def close(a: str, b: str) -> Column:

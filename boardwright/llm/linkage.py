@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from boardwright.functions.text import link_form, title_words
 from boardwright.llm import bitmaps
-from boardwright.llm.blocking import ORDER_SLOTS, alike, blocks, close, cut_blocks, fingerprints, slot_counts, titled
+from boardwright.llm.blocking import BLOCK_SCHEMA, MEETS_LONG, ORDER_SLOTS, SHORT, alike, all_blocks, blocks, close, fingerprints, slot_counts, titled
 from boardwright.llm.copies import canonical
 from boardwright.session import materialize
 
@@ -35,7 +35,7 @@ def _node_maker(counts: np.ndarray, total: int):
             b = b.take(pa.array(first))
             ws = b.column("ws")
             flat, sizes = ws.flatten().to_numpy(), ws.value_lengths().to_numpy().astype(np.int64)
-            row, key, skips = cut_blocks(flat, sizes, counts, total)
+            row, key, skips = all_blocks(flat, sizes, counts, total, SHORT + 1)
             order = np.argsort(row, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(nid)))]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (key.view(np.int64)[order], skips[order].astype(np.int32))]
@@ -68,7 +68,7 @@ class LinkageIndex:
     @classmethod
     def create(cls, history: DataFrame, path: str, key: str = "job_id") -> LinkageIndex:
         spark = history.sparkSession
-        counts = slot_counts(titled(history, key))
+        counts, _ = slot_counts(titled(history, key))
         spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts.tolist())], "slot int, n long").coalesce(1).write.parquet(f"{path}/order")
         index = cls(spark, path)
         index.append(history, key)
@@ -101,7 +101,13 @@ class LinkageIndex:
                 cols = [key[hit], take("nid"), take("fp"), take("size"), b.column("skips").flatten().to_numpy()[hit]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "nid", "fp", "size", "skips"])
 
-        return self.nodes.select("nid", "fp", "size", "keys", "skips").mapInArrow(thin, "key long, nid long, fp long, size int, skips int")
+        return self.nodes.select("nid", "fp", "size", "keys", "skips").mapInArrow(thin, BLOCK_SCHEMA)
+
+    def blocks_cut_anew(self, packed: bytes, bits: int) -> DataFrame:
+        """The long blocks, of those the bitmap holds, of nodes that the index holds short blocks of only."""
+        words = F.transform(title_words(F.col("title")), lambda w: F.xxhash64(w))
+        nodes = self.nodes.filter(F.col("size").between(MEETS_LONG, SHORT)).select("nid", words.alias("ws"))
+        return bitmaps.keep(blocks(nodes, self.counts, self.total, MEETS_LONG, short=False), "key", packed, bits)
 
 
 def in_order(batch: Column, row: Column) -> Column:
@@ -123,9 +129,14 @@ class Probe:
 
     def _alike(self) -> DataFrame:
         """(a, b, before): node a of the batch, node b of the index (before null) or of the batch (its first row)."""
-        mine = blocks(self.nodes, self.index.counts, self.index.total).persist()
+        mine = blocks(self.nodes, self.index.counts, self.index.total, MEETS_LONG).persist()
         bits = bitmaps.bitmap_bits(mine.count())
-        held = self.index.blocks_held(bitmaps.build(mine, "key", bits), bits).dropDuplicates(["key", "nid", "skips"])
+        held = self.index.blocks_held(bitmaps.build(mine, "key", bits), bits)
+        longer = mine.filter(F.col("size") > SHORT)
+        if not longer.isEmpty():
+            bits = bitmaps.bitmap_bits(longer.count())
+            held = held.unionByName(self.index.blocks_cut_anew(bitmaps.build(longer, "key", bits), bits))
+        held = held.dropDuplicates(["key", "nid", "skips"])
         a, b = mine.alias("a"), held.alias("b")
         old = a.join(b, (F.col("a.key") == F.col("b.key")) & close("a", "b")).select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b")).distinct()
         old = materialize(old, "old-candidates")

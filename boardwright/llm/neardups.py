@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardwright.functions.text import title_form
-from boardwright.llm.blocking import alike, block_maker, close, slot_counts, titled
-from boardwright.llm.blocking import BLOCK_SCHEMA
+from boardwright.llm import bitmaps
+from boardwright.llm.blocking import MEETS_LONG, SHORT, alike, blocks, close, slot_counts, titled
 from boardwright.operators.components import components
 from boardwright.session import materialize
 
@@ -18,19 +18,33 @@ def alike_nodes(titles: DataFrame) -> DataFrame:
     The hot group of a title repeated over and over is one node: repeats are dropped in each batch before the
     shuffle and in each block after it.
     """
-    counts = slot_counts(titles)
+    counts, many = slot_counts(titles)
     total = max(int(counts.sum()) // 10, 2)
-    cut = titles.select("nid", "ws").mapInArrow(block_maker(counts, total), BLOCK_SCHEMA)
-    cut = cut.repartition("key").dropDuplicates(["key", "nid", "skips"])
+    cut = blocks(titles, counts, total).repartition("key").dropDuplicates(["key", "nid", "skips"])
     a, b = cut.alias("a"), cut.alias("b")
     near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.nid") < F.col("b.nid")) & close("a", "b"))
-    pairs = near.select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b")).distinct()
+    pairs = near.select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b"))
+    if many:  # titles that only long blocks serve
+        pairs = pairs.unionByName(_long_pairs(titles, counts, total))
+    pairs = pairs.distinct()
     nodes = titles.groupBy("nid").agg(F.first("title").alias("title"))
     text = lambda side: nodes.select(F.col("nid").alias(side), F.col("title").alias(f"title_{side}"))
     both = pairs.join(text("a"), "a").join(text("b"), "b")
     return both.filter(alike(F.col("title_a"), F.col("title_b")) & (title_form("title_a") != title_form("title_b"))).select("a", "b")
 
 
+def _long_pairs(titles: DataFrame, counts, total: int) -> DataFrame:
+    """Candidates with at least one title longer than SHORT; of the shorter ones only blocks that a long title has."""
+    cut = blocks(titles.filter(F.size("ws") > SHORT), counts, total, SHORT + 1, short=False).repartition("key").dropDuplicates(["key", "nid", "skips"]).persist()
+    bits = bitmaps.bitmap_bits(cut.count())
+    packed = bitmaps.build(cut, "key", bits)
+    less = bitmaps.keep(blocks(titles.filter(F.size("ws").between(MEETS_LONG, SHORT)), counts, total, MEETS_LONG, short=False), "key", packed, bits)
+    a, b = cut.alias("a"), cut.unionByName(less.dropDuplicates(["key", "nid", "skips"])).alias("b")
+    one_way = (F.col("a.nid") < F.col("b.nid")) | (F.col("b.size") <= SHORT)
+    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.nid") != F.col("b.nid")) & one_way & close("a", "b"))
+    return near.select(F.least("a.nid", "b.nid").alias("a"), F.greatest("a.nid", "b.nid").alias("b"))
+
+
 def near_pairs(jobs: DataFrame, key: str = "job_id") -> DataFrame:
     """(job_a, job_b), job_a < job_b: rows whose titles are alike but have different forms.
 
