@@ -19,7 +19,7 @@ from boardwright.llm.ranks import ranked
 from boardwright.llm.tokens import TOKENIZER, count_tokens
 from boardwright.session import materialize
 
-BUCKETS = 192
+BUCKETS = 128
 
 
 def length_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
@@ -27,25 +27,31 @@ def length_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.n
     n = len(lengths)
     if n <= buckets:
         return lengths
-    c = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)])
-    w = np.concatenate([[0], np.cumsum(counts * lengths.astype(np.float64))])
-    # cost of a bucket over items i..j-1 is lengths[j-1] * (c[j] - c[i]) - (w[j] - w[i])
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
+    c = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    w = np.concatenate([[0], np.cumsum(counts * lengths)]).tolist()
+    size = lengths.tolist()
+    # A bucket over items i..j-1 costs size[j-1] * (c[j] - c[i]) - (w[j] - w[i]): of the cuts i, each a line in
+    # size[j-1] of slope -c[i], the lowest is found on their lower hull, walked once for each number of buckets.
+    best: list[float] = [0.0] + [float("inf")] * n
     choice = np.zeros((buckets, n + 1), np.int32)
     for k in range(buckets):
-        new = np.full(n + 1, np.inf)
-        todo = [(1, n, 0, n - 1)]
-        while todo:  # the best cut moves one way with j: divide and conquer
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            cost = best[i] + lengths[j - 1] * (c[j] - c[i]) - (w[j] - w[i])
-            at = int(np.argmin(cost))
-            new[j], choice[k, j] = cost[at], i[at]
-            todo += [(lo, j - 1, a, int(i[at])), (j + 1, hi, int(i[at]), b)]
+        new, hull, at = [float("inf")] * (n + 1), [], 0
+        for j in range(1, n + 1):
+            i = j - 1
+            if best[i] < float("inf"):
+                y = best[i] + w[i]
+                while len(hull) - at > 1:
+                    (p, yp), (q, yq) = hull[-2], hull[-1]
+                    if (yq - yp) * (c[i] - c[q]) < (y - yq) * (c[q] - c[p]):
+                        break
+                    hull.pop()
+                hull.append((i, y))
+            x = size[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][1] - x * c[hull[at + 1][0]] <= hull[at][1] - x * c[hull[at][0]]:
+                at += 1
+            if at < len(hull):
+                i, y = hull[at]
+                new[j], choice[k, j] = y - x * c[i] + x * c[j] - w[j], i
         best = new
     cuts, j = [], n
     for k in range(buckets - 1, -1, -1):
