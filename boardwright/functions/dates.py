@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boardwright.functions.bind import let
+
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _M = "|".join(MONTHS)
 #: In order of priority: year first, day and month name, month name and day, three numbers.
@@ -25,33 +29,47 @@ def _month(token: Column) -> Column:
     return at.cast("int")
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+def _groups(text: Column, pattern: str) -> Column:
+    """The three groups of the first match, split at a mark that no group holds; null where nothing matches."""
+    found = F.regexp_extract(text, pattern, 0)
+    return F.when(found != "", F.split(F.regexp_replace(found, pattern, "$1|$2|$3"), r"\|"))
+
+
+def _iso(text: Column, pattern: str, read: Callable[[Column, Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """The date of a pattern's first match, null if it is none."""
+
+    def valid(p: Column) -> Column:
+        year = F.when(p["y"] < 100, p["y"] + 2000).otherwise(p["y"])
+        ok = year.between(2000, 2099) & p["m"].between(1, 12) & p["d"].between(1, 31)
+        return F.when(ok, F.format_string("%04d-%02d-%02d", year, p["m"], p["d"]))
+
+    def parts(g: Column) -> Column:
+        y, m, d = read(g[0], g[1], g[2])
+        return let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), valid)
+
+    return let(_groups(text, pattern), lambda g: F.when(g.isNotNull(), parts(g)))
+
+
+def _numbers(a: Column, b: Column, y: Column) -> tuple[Column, Column, Column]:
+    first, second = a.try_cast("int"), b.try_cast("int")
+    swap = (second > 12) & (first <= 12)
+    return y.try_cast("int"), F.when(swap, first).otherwise(second), F.when(swap, second).otherwise(first)
 
 
 def normalize_date(text: Column) -> Column:
     """'YYYY-MM-DD' by the first pattern that gives a month 1-12, a day 1-31 and a year 2000-2099, '' for none.
 
     Not checked against the calendar. Two-digit years are 20yy; numbers are day first unless only the second can be
-    a day. A month's name may run on in other letters.
+    a day. A month's name may run on in other letters. A pattern is tried only where those before it gave nothing.
     """
-    a, b = _number(text, NUMBERS, 1), _number(text, NUMBERS, 2)
-    swap = (b > 12) & (a <= 12)
-    parts = (
-        (_number(text, ISO, 1), _number(text, ISO, 2), _number(text, ISO, 3)),
-        (_number(text, DAY_NAME, 3), _month(F.regexp_extract(text, DAY_NAME, 2)), _number(text, DAY_NAME, 1)),
-        (_number(text, NAME_DAY, 3), _month(F.regexp_extract(text, NAME_DAY, 1)), _number(text, NAME_DAY, 2)),
-        (_number(text, NUMBERS, 3), F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)),
-    )
-
-    def iso(y: Column, m: Column, d: Column) -> Column:
-        year = F.when(y < 100, y + 2000).otherwise(y)
-        return F.when(year.between(2000, 2099) & m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", year, m, d))
-
-    return F.coalesce(*[iso(*p) for p in parts], F.lit(""))
+    n = lambda c: c.try_cast("int")
+    return F.coalesce(
+        _iso(text, ISO, lambda y, m, d: (n(y), n(m), n(d))), _iso(text, DAY_NAME, lambda d, m, y: (n(y), _month(m), n(d))),
+        _iso(text, NAME_DAY, lambda m, d, y: (n(y), _month(m), n(d))), _iso(text, NUMBERS, _numbers), F.lit(""),
+    )
 
 
 def year_of(text: Column) -> Column:
     """Year of the normalised date, else a bare 20yy, else null."""
-    iso = normalize_date(text)
-    return F.coalesce(F.when(iso != "", F.substring(iso, 1, 4).try_cast("int")), F.regexp_extract(text, r"\b(20\d{2})\b", 1).try_cast("int"))
+    bare = F.regexp_extract(text, r"\b(20\d{2})\b", 1).try_cast("int")
+    return let(normalize_date(text), lambda iso: F.when(iso != "", F.substring(iso, 1, 4).try_cast("int")).otherwise(bare))

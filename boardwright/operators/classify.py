@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boardwright.functions.bind import let
 from boardwright.functions.dates import normalize_date, year_of
 from boardwright.functions.text import alpha_tokens
 from boardwright.operators.scoring import keyword_predicate
@@ -36,46 +37,56 @@ class Vocabulary:
 
 def overlap_similarity(tokens: Column, profile: tuple[str, ...]) -> Column:
     """Number of tokens of the profile over the norm of the term counts (no IDF, so it may exceed 1); 0 without tokens."""
-    terms = F.array_distinct(tokens)
-    count = lambda t: F.size(F.filter(tokens, lambda x: x == t)).cast("double")
-    squares = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + count(t) * count(t))
-    hits = F.size(F.filter(tokens, lambda t: t.isin(*profile))).cast("double") if profile else F.lit(0.0)
-    return F.when(squares > 0, hits / F.sqrt(squares)).otherwise(F.lit(0.0))
+
+    def of(t: Column) -> Column:
+        count = lambda x: F.size(F.filter(t, lambda y: y == x)).cast("double")
+        squares = F.aggregate(F.array_distinct(t), F.lit(0.0), lambda acc, x: acc + count(x) * count(x))
+        hits = F.size(F.filter(t, lambda x: x.isin(*profile)))
+        return F.when(hits > 0, hits.cast("double") / F.sqrt(squares)).otherwise(F.lit(0.0))
+
+    return let(tokens, of) if profile else F.lit(0.0)
 
 
 def decide(title: Column, link: Column, org: Column, v: Vocabulary) -> Column:
-    """struct(relevance, decided_by): the first layer that fits. Null title and link count as ''."""
+    """'relevance|layer' by the first layer that fits. Null title and link count as ''."""
     title, link = F.coalesce(title, F.lit("")), F.coalesce(link, F.lit(""))
     plain = F.trim(F.regexp_replace(title, r"\s+", " "))
-    low = F.lower(plain)
     url = F.lower(link)
     kw = lambda words: keyword_predicate(title, list(words)) if words else F.lit(False)
     urls = lambda words: sum([F.when(url.contains(w), 1).otherwise(0) for w in words], F.lit(0))
     guarded = F.coalesce(org.startswith(v.guarded_prefix), F.lit(False))
-    tokens = alpha_tokens(plain)
-    yes, no = overlap_similarity(tokens, v.wanted_profile), overlap_similarity(tokens, v.unwanted_profile)
     first = F.coalesce(org.isin(*v.first_orgs), F.lit(False)) if v.first_orgs else F.lit(False)
-    is_noise = (F.length(plain) < 4) | low.isin(*v.menu) | plain.rlike(v.noise) | low.rlike(r"\d+(?:\.\d+)?\s*(?:kb|mb)\b")
-    said = lambda relevance, by: F.struct(F.lit(relevance).alias("relevance"), F.lit(by).alias("decided_by"))
-    out = F.when(is_noise, said("excluded", "C0"))
-    for key, part, relevance in v.overrides:
-        out = out.when((org == key) & F.concat(F.lit(" "), low, F.lit(" ")).contains(part), said(relevance, "C2"))
-    return (
-        out.when(kw(v.exclude), said("excluded", "C3")).when(kw(v.core), said("relevant", "C4")).when(kw(v.other), said("relevant", "C5"))
-        .when(urls(v.unwanted_urls) > 0, said("excluded", "C6")).when((yes >= v.overlap) & (yes > no), said("relevant", "C8"))
-        .when((no >= v.overlap) & (no > yes) & ~guarded, said("excluded", "C8")).when(kw(v.generic) & first, said("relevant", "C9"))
-        .when(first, said("relevant", "C11")).when(urls(v.wanted_urls) >= 2, said("relevant", "C12"))
-        .when(kw(v.generic), said("relevant", "C14")).otherwise(said("uncertain", "C14"))
-    )
+
+    def late(s: Column) -> Column:
+        """The layers that need the similarities, and those after them."""
+        return (
+            F.when((s["yes"] >= v.overlap) & (s["yes"] > s["no"]), "relevant|C8").when((s["no"] >= v.overlap) & (s["no"] > s["yes"]) & ~guarded, "excluded|C8")
+            .when(first, F.when(kw(v.generic), "relevant|C9").otherwise("relevant|C11")).when(urls(v.wanted_urls) >= 2, "relevant|C12")
+            .when(kw(v.generic), "relevant|C14").otherwise("uncertain|C14")
+        )
+
+    def all_layers(p: Column) -> Column:
+        low = F.lower(p)
+        noise = (F.length(p) < 4) | low.isin(*v.menu) | p.rlike(v.noise) | low.rlike(r"\d+(?:\.\d+)?\s*(?:kb|mb)\b")
+        out = F.when(noise, "excluded|C0")
+        for key, part, relevance in v.overrides:
+            out = out.when((org == key) & F.concat(F.lit(" "), low, F.lit(" ")).contains(part), f"{relevance}|C2")
+        both = let(alpha_tokens(p), lambda t: F.struct(overlap_similarity(t, v.wanted_profile).alias("yes"), overlap_similarity(t, v.unwanted_profile).alias("no")))
+        return (
+            out.when(kw(v.exclude), "excluded|C3").when(kw(v.core), "relevant|C4").when(kw(v.other), "relevant|C5")
+            .when(urls(v.unwanted_urls) > 0, "excluded|C6").otherwise(let(both, late))
+        )
+
+    return let(plain, all_layers)
 
 
 def annotate(postings: DataFrame, v: Vocabulary, cutoff_year: int = 2025, as_null: bool = False) -> DataFrame:
     """postings with date_iso, relevance and decided_by. Dated up to cutoff_year: excluded before any other layer ('F3')."""
-    old = year_of(F.col("date")) <= cutoff_year
-    c = F.when(old, F.struct(F.lit("excluded").alias("relevance"), F.lit("F3").alias("decided_by"))).otherwise(decide(F.col("title"), F.col("link"), F.col("org_key"), v))
+    old = F.coalesce(year_of(F.col("date")) <= cutoff_year, F.lit(False))
+    c = F.when(old, "excluded|F3").otherwise(decide(F.col("title"), F.col("link"), F.col("org_key"), v))
     iso = normalize_date(F.col("date"))
     out = postings.withColumn("_c", c).withColumn("date_iso", F.nullif(iso, F.lit("")) if as_null else iso)
-    return out.withColumn("relevance", F.col("_c.relevance")).withColumn("decided_by", F.col("_c.decided_by")).drop("_c")
+    return out.withColumn("relevance", F.substring_index("_c", "|", 1)).withColumn("decided_by", F.substring_index("_c", "|", -1)).drop("_c")
 
 
 def with_models(annotated: DataFrame, margins: DataFrame, v: Vocabulary, key: str, margin: float = 2.0) -> DataFrame:
