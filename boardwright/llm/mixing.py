@@ -96,9 +96,10 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, fi
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_repeats) of each target; sources not met have 0."""
+    mixed = materialize(mixed, "mixed")
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    all_used = used.agg(F.sum("tokens").alias("whole"))
+    whole = used.agg(F.sum("tokens")).first()[0] or 1  # one number
     goal = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"))
-    both = goal.join(F.broadcast(used), "source", "left").join(F.broadcast(all_used))  # a handful of rows, and one
+    both = goal.join(F.broadcast(used), "source", "left")  # a handful of rows
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return both.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("documents"), zero("most_repeats"))
+    return both.select("source", "target_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("documents"), zero("most_repeats"))

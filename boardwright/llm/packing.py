@@ -97,8 +97,8 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER
     sizes = {r.container: r.capacity for r in capacities.filter("capacity_tokens > 0").groupBy("container").agg(F.min("capacity_tokens").alias("capacity")).collect()}
     if not sizes:
         return spark.createDataFrame([], f"container string, {key} long, piece int, first_token int, tokens int, bin long")
-    size = spark.createDataFrame(list(sizes.items()), "container string, capacity int")
-    items = sized.join(F.broadcast(size))  # a few sizes, as many copies of the two-number rows
+    each = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).alias("capacity")) for c, n in sizes.items()])
+    items = sized.select("id", "n_tokens", F.explode(each).alias("c")).select("id", "n_tokens", "c.container", "c.capacity")
     n = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1)).cast("int")
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     start = (F.col("piece") * F.col("capacity")).cast("int")

@@ -8,6 +8,9 @@ support lies inside, and a span that is shared can't hold the support of a symbo
 
 Spark counts in how many texts each final symbol occurs. Stretches of ``least`` characters without the support of an
 unshared symbol are the candidates, and these alone are verified, by their hash, against those of all other texts.
+First those that begin at an anchor, a place that the stretch's own first characters mark: two shared ones no further
+apart than their length cover all between them. The rest of a run of candidates, mostly its ends, is asked for; the
+stretches asked for go into a bitmap, and every text answers with its candidates that the bitmap holds.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardwright.llm import bitmaps
+from boardwright.session import materialize
 
 LEAST_CHARS = 200
 #: Longest symbol that a round may make, in characters: of runs, then of pairs.
@@ -134,25 +138,25 @@ def parse(c: Chunk) -> dict[str, np.ndarray]:
     return s
 
 
-def chunks(b: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, Chunk]]:
-    """The batch's texts of at least ``least`` characters, some at a time: (ids, chunk)."""
+def chunks(b: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, list[str], Chunk]]:
+    """The batch's texts of at least ``least`` characters, some at a time: (ids, texts, chunk)."""
     ids, texts, held = [], [], 0
     for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
         if t is not None and len(t) >= least:
             if held and held + len(t) > CHUNK_CHARS:
-                yield np.array(ids), Chunk(texts)
+                yield np.array(ids), texts, Chunk(texts)
                 ids, texts, held = [], [], 0
             ids.append(i)
             texts.append(t)
             held += len(t)
     if held:
-        yield np.array(ids), Chunk(texts)
+        yield np.array(ids), texts, Chunk(texts)
 
 
 def _symbols(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, c in chunks(b, least):
+            for ids, _, c in chunks(b, least):
                 s = parse(c)
                 both = np.unique(np.stack([s["name"].view(np.int64), ids[s["text"]]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["name", "id"])
@@ -178,6 +182,73 @@ def candidate_starts(c: Chunk, s: dict[str, np.ndarray], shared: np.ndarray, lea
     return np.nonzero(alive & (np.cumsum(edge[:-1]) == 0))[0]
 
 
+REGIONS = "id long, text string, first array<int>, last array<int>"
+STRETCH = "h long, id long, pos int"
+#: Of the places where a word begins, one in so many is an anchor.
+ANCHOR_SHARE = 4
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, number: int) -> pa.Array:
+    """values as one list for each row; rows ascending."""
+    offsets = np.searchsorted(rows, np.arange(number + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+
+
+class Region:
+    """Texts of regions, some at a time, with the starts of their candidate stretches."""
+
+    def __init__(self, ids: list[int], texts: list[str], first: list[list[int]], last: list[list[int]]):
+        self.ids, self.chunk = np.array(ids), Chunk(texts)
+        run = np.repeat(np.arange(len(ids)), [len(x) for x in first])
+        lo, hi = (np.concatenate([np.asarray(x, np.int64) for x in v]) + self.chunk.starts[run] for v in (first, last))
+        n = hi - lo + 1
+        self.run = np.repeat(np.arange(len(lo)), n)
+        self.at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        self.doc = np.repeat(run, n)
+
+    def stretches(self, keep: np.ndarray, least: int) -> pa.RecordBatch:
+        at, doc = self.at[keep], self.doc[keep]
+        cols = [self.chunk.hashes(at, at + least).view(np.int64), self.ids[doc], (at - self.chunk.starts[doc]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "id", "pos"])
+
+    def anchors(self, least: int) -> np.ndarray:
+        """Which candidates begin with white space, a word and a hash that says so."""
+        cp, at, k = self.chunk.cp, self.at, min(8, least - 1)
+        begins = (cp[at] <= 32) & (cp[at + 1] > 32)
+        return begins & (self.chunk.hashes(at, at + k) % np.uint64(ANCHOR_SHARE) == 0)
+
+    def open(self, known: list[list[int] | None], least: int) -> np.ndarray:
+        """Which candidates aren't settled by shared anchors: anchors are, and what lies between two near enough."""
+        settled = self.anchors(least)
+        marks = [np.asarray(k if k is not None else [], np.int64) + s for k, s in zip(known, self.chunk.starts)]
+        found = np.sort(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
+        if len(found):
+            after = np.searchsorted(found, self.at, side="right")
+            low, high = found[np.maximum(after - 1, 0)], found[np.minimum(after, len(found) - 1)]
+            between = (after > 0) & (after < len(found)) & (low <= self.at) & (high - low <= least)
+            ends = self.chunk.ends
+            settled |= between & (np.searchsorted(ends, low, side="right") == np.searchsorted(ends, high, side="right"))
+        return ~settled
+
+
+def _over_regions(b: pa.RecordBatch) -> Iterator[tuple[slice, Region]]:
+    ids, texts, first, last = (b.column(c).to_pylist() for c in ("id", "text", "first", "last"))
+    low = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > CHUNK_CHARS:
+            yield slice(low, i), Region(ids[low:i], texts[low:i], first[low:i], last[low:i])
+            low, held = i, 0
+        held += len(t)
+    if held:
+        yield slice(low, len(ids)), Region(ids[low:], texts[low:], first[low:], last[low:])
+
+
+def _known(stretches: DataFrame) -> DataFrame:
+    """The stretches that another text has too."""
+    twice = stretches.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("h")
+    return stretches.join(twice, "h", "left_semi").select("id", "pos")
+
+
 def shared_spans(documents: DataFrame, least: int = LEAST_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, shared_chars): documents with a stretch of ``least`` characters that another document holds too.
 
@@ -198,21 +269,49 @@ def shared_spans(documents: DataFrame, least: int = LEAST_CHARS, key: str = "doc
     bits = bitmaps.bitmap_bits(shared.count())
     packed = spark.sparkContext.broadcast(bitmaps.build(shared, "name", bits))
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = bitmaps.holds(packed.value, bits)
         for b in batches:
-            for ids, c in chunks(b, least):
+            for ids, texts, c in chunks(b, least):
                 s = parse(c)
                 at = candidate_starts(c, s, test(s["name"].view(np.int64)), least)
-                for i in range(0, len(at), 1 << 17):
-                    p = at[i : i + (1 << 17)]
-                    doc = np.searchsorted(c.ends, p, side="right")
-                    cols = [c.hashes(p, p + least).view(np.int64), ids[doc], (p - c.starts[doc]).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "id", "pos"])
-
-    found = once.mapInArrow(stretches, "h long, id long, pos int")
-    known = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("h")
-    hits = found.join(known, "h", "left_semi")
+                doc = np.searchsorted(c.ends, at, side="right")
+                gap = (np.diff(at) > 1) | (np.diff(doc) > 0)
+                first, last = np.append([True], gap)[: len(at)], np.append(gap, [True])[-len(at) :] if len(at) else np.zeros(0, bool)
+                has = np.unique(doc)
+                row = np.searchsorted(has, doc)
+                local = at - c.starts[doc]
+                lists = [_lists(row[m], local[m], len(has)) for m in (first, last)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array([texts[i] for i in has], pa.string()), *lists], ["id", "text", "first", "last"])
+
+    held = materialize(once.mapInArrow(regions, REGIONS), "regions")
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, r in _over_regions(b):
+                yield r.stretches(r.anchors(least), least)
+
+    settled = materialize(_known(held.mapInArrow(anchors, STRETCH)), "anchors")
+    by_text = settled.groupBy("id").agg(F.collect_list("pos").alias("known"))  # at most a text's length
+
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = b.column("known").to_pylist()
+            for part, r in _over_regions(b):
+                yield r.stretches(r.open(known[part], least), least).select(["h"])
+
+    asked = held.join(by_text, "id", "left").mapInArrow(questions, "h long").persist()
+    ask_bits = bitmaps.bitmap_bits(asked.count())
+    asked_for = spark.sparkContext.broadcast(bitmaps.build(asked, "h", ask_bits))
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = bitmaps.holds(asked_for.value, ask_bits)
+        for b in batches:
+            for _, r in _over_regions(b):
+                all_of = r.stretches(np.arange(len(r.at)), least)
+                yield all_of.filter(pa.array(test(all_of.column("h").to_numpy())))
+
+    hits = _known(held.mapInArrow(answers, STRETCH)).unionByName(settled).distinct()
     from pyspark.sql import Window as W
 
     step = F.lead("pos").over(W.partitionBy("id").orderBy("pos")) - F.col("pos")
