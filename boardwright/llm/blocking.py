@@ -39,10 +39,18 @@ BLOCK_SCHEMA = "key long, nid long, fp long, size int, skips int"
 
 
 def titled(rows: DataFrame, key: str, title: str = "title") -> DataFrame:
-    """(key, title, ws, nid) of titles of six words and more; ws: word hashes, nid: hash of word set and form."""
-    words = rows.select(F.col(key).alias("key"), F.col(title).alias("title"), F.array_sort(title_words(F.col(title))).alias("w"))
-    words = words.filter(F.size("w") >= LEAST_WORDS)
-    return words.select("key", "title", F.transform("w", lambda w: F.xxhash64(w)).alias("ws"), F.xxhash64("w", title_form(F.col("title"))).alias("nid"))
+    """(key, title, ws, nid) of titles of six words and more; ws: word hashes in order, nid: hash of word set and form."""
+    words = rows.select(F.col(key).alias("key"), F.col(title).alias("title"), word_hashes(F.col(title)).alias("ws"))
+    return words.filter(F.size("ws") >= LEAST_WORDS).select("key", "title", "ws", node_id().alias("nid"))
+
+
+def word_hashes(title: Column) -> Column:
+    """Hashes of the distinct words, sorted. As a generator of one row, so that a filter on it isn't pushed below and worked out twice."""
+    return F.explode(F.array(F.sort_array(F.transform(title_words(title), lambda w: F.xxhash64(w)))))
+
+
+def node_id() -> Column:
+    return F.xxhash64("ws", title_form(F.col("title")))
 
 
 def slot_counts(titles: DataFrame) -> tuple[np.ndarray, int]:

@@ -26,9 +26,9 @@ PROBES = 2
 
 def canonical(rows: DataFrame, key: str, title: Column, link: Column) -> DataFrame:
     """(key, h1, h2): two hashes of title form and link form; rows without title or link take no part."""
-    forms = rows.select(F.col(key).alias("key"), title_form(title).alias("t"), link_form(link).alias("l"))
-    forms = forms.filter("t != '' and l != ''")
-    return forms.select("key", F.xxhash64("t", "l").alias("h1"), F.xxhash64("l", F.lit("|"), "t").alias("h2"))
+    both = F.explode(F.array(F.struct(title_form(title).alias("t"), link_form(link).alias("l")))).alias("f")  # a generator: worked out once
+    forms = rows.select(F.col(key).alias("key"), both).filter("f.t != '' and f.l != ''")
+    return forms.select("key", F.xxhash64("f.t", "f.l").alias("h1"), F.xxhash64("f.l", F.lit("|"), "f.t").alias("h2"))
 
 
 def filter_bits(rows: int) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from boardwright.functions.text import link_form, title_words
 from boardwright.llm import bitmaps
-from boardwright.llm.blocking import BLOCK_SCHEMA, MEETS_LONG, ORDER_SLOTS, SHORT, alike, all_blocks, blocks, close, fingerprints, slot_counts, titled
+from boardwright.llm.blocking import BLOCK_SCHEMA, LEAST_WORDS, MEETS_LONG, ORDER_SLOTS, SHORT, alike, all_blocks, blocks, close, fingerprints, node_id, slot_counts, titled, word_hashes
 from boardwright.llm.copies import canonical
 from boardwright.session import materialize
 
@@ -48,10 +48,8 @@ def _node_maker(counts: np.ndarray, total: int):
 def _described(rows: DataFrame, key: str) -> DataFrame:
     """(nid, ws, title, ref, link, day): titled rows with what a link is scored by."""
     base = rows.select(F.col(key).alias("ref"), "title", F.xxhash64(link_form(F.col("link"))).alias("link"), F.xxhash64(F.coalesce("date", F.lit(""))).alias("day"))
-    words = base.withColumn("w", F.array_sort(title_words(F.col("title")))).filter(F.size("w") >= 6)
-    from boardwright.functions.text import title_form
-
-    return words.select(F.xxhash64("w", title_form(F.col("title"))).alias("nid"), F.transform("w", lambda w: F.xxhash64(w)).alias("ws"), "title", "ref", "link", "day")
+    words = base.select("*", word_hashes(F.col("title")).alias("ws")).filter(F.size("ws") >= LEAST_WORDS)
+    return words.select(node_id().alias("nid"), "ws", "title", "ref", "link", "day")
 
 
 class LinkageIndex:
@@ -105,7 +103,7 @@ class LinkageIndex:
 
     def blocks_cut_anew(self, packed: bytes, bits: int) -> DataFrame:
         """The long blocks, of those the bitmap holds, of nodes that the index holds short blocks of only."""
-        words = F.transform(title_words(F.col("title")), lambda w: F.xxhash64(w))
+        words = F.sort_array(F.transform(title_words(F.col("title")), lambda w: F.xxhash64(w)))
         nodes = self.nodes.filter(F.col("size").between(MEETS_LONG, SHORT)).select("nid", words.alias("ws"))
         return bitmaps.keep(blocks(nodes, self.counts, self.total, MEETS_LONG, short=False), "key", packed, bits)
 

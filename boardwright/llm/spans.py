@@ -138,6 +138,16 @@ def parse(c: Chunk) -> dict[str, np.ndarray]:
     return s
 
 
+def with_neighbours(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The symbols, and each two neighbours of a text as one more, of the support of both."""
+    i = np.nonzero(s["text"][1:] == s["text"][:-1])[0]
+    two = {
+        "name": _mix(s["name"][i] * np.uint64(7) ^ _mix(s["name"][i + 1] + np.uint64(99))), "lo": np.minimum(s["lo"][i], s["lo"][i + 1]),
+        "hi": np.maximum(s["hi"][i], s["hi"][i + 1]), "text": s["text"][i],
+    }
+    return {k: np.concatenate([s[k], v]) for k, v in two.items()}
+
+
 def chunks(b: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, list[str], Chunk]]:
     """The batch's texts of at least ``least`` characters, some at a time: (ids, texts, chunk)."""
     ids, texts, held = [], [], 0
@@ -157,7 +167,7 @@ def _symbols(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, _, c in chunks(b, least):
-                s = parse(c)
+                s = with_neighbours(parse(c))
                 both = np.unique(np.stack([s["name"].view(np.int64), ids[s["text"]]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["name", "id"])
 
@@ -273,7 +283,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST_CHARS, key: str = "doc
         test = bitmaps.holds(packed.value, bits)
         for b in batches:
             for ids, texts, c in chunks(b, least):
-                s = parse(c)
+                s = with_neighbours(parse(c))
                 at = candidate_starts(c, s, test(s["name"].view(np.int64)), least)
                 doc = np.searchsorted(c.ends, at, side="right")
                 gap = (np.diff(at) > 1) | (np.diff(doc) > 0)
