@@ -23,7 +23,8 @@ def survivors(jobs: DataFrame, trust: DataFrame) -> DataFrame:
     of a small struct, aggregated partially in each task, so a group of any size stays distributed.
     """
     trust = trust.groupBy("source").agg(F.max("trust").alias("trust"))  # one row per source, a handful
-    rows = jobs.join(F.broadcast(trust), "source", "left").select(
+    own = jobs.select("job_id", "link", "source", "scraped_at", *FIELDS)
+    rows = own.join(F.broadcast(trust), "source", "left").select(
         "job_id", F.xxhash64(link_form(F.col("link"))).alias("h1"), F.hash(link_form(F.col("link"))).alias("h2"),
         (link_form(F.col("link")) != "").alias("linked"), "title", "apply_link", "pdf_link", "date",
         F.coalesce("trust", F.lit(-(2**31))).alias("trust"), F.coalesce(F.unix_micros("scraped_at"), F.lit(-(2**62))).alias("at"),
