@@ -136,3 +136,18 @@ def title_vectors(titles: DataFrame, key: str, tokens: str, embeddings: DataFram
 def subset_embeddings(embeddings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Embeddings of the words in the vocabulary (word)."""
     return embeddings.join(vocabulary.select("word").distinct(), "word", "left_semi")
+
+
+def max_similarity(titles: DataFrame, key: str, tokens: str, embeddings: DataFrame, profile: list[str]) -> DataFrame:
+    """(key, word, profile_word, cosine): the closest pair of a title's word and a profile word; ties go by word.
+
+    The profile is a word list of the caller, its vectors become literals; words are scored once each, not per title.
+    """
+    rows = embeddings.filter(F.col("word").isin(*profile)).dropDuplicates(["word"]).collect()  # at most the profile's words
+    wanted = F.array(*[F.struct(F.lit(r.word).alias("profile_word"), F.array(*[F.lit(float(x)) for x in r.vec]).alias("pv")) for r in rows])
+    words = titles.select(F.explode(tokens).alias("word")).distinct().join(embeddings, "word")
+    each = words.select("word", "vec", F.explode(wanted).alias("p"))
+    scored = each.select("word", "p.profile_word", cosine(F.col("vec"), F.col("p.pv")).alias("cosine"))
+    best = scored.groupBy("word").agg(F.max_by(F.struct("profile_word", "cosine"), F.struct("cosine", "profile_word")).alias("b")).select("word", "b.*")
+    flat = titles.select(key, F.explode(tokens).alias("word")).distinct().join(best, "word")
+    return flat.groupBy(key).agg(F.max_by(F.struct("word", "profile_word", "cosine"), F.struct("cosine", "word")).alias("b")).select(key, "b.*")

@@ -47,8 +47,8 @@ def portal_grid(states: DataFrame, departments: DataFrame, hosts: DataFrame | No
 
     Both sides are generator dimensions of some dozens of rows.
     """
-    grid = states.select(F.lower("state").alias("s")).join(F.broadcast(departments.select(F.lower("department").alias("d"))))
-    grid = grid.select(F.concat_ws("_", "d", "s").alias("org_key"), F.concat(F.concat_ws(".", "d", "s"), F.lit("." + suffix)).alias("sub"), F.concat("s", F.lit("." + suffix)).alias("base"))
+    names = F.array(*[F.lit(r.department.lower()) for r in departments.select("department").distinct().collect()])
+    grid = states.select(F.lower("state").alias("s"), F.explode(names).alias("d")).select(F.concat_ws("_", "d", "s").alias("org_key"), F.concat(F.concat_ws(".", "d", "s"), F.lit("." + suffix)).alias("sub"), F.concat("s", F.lit("." + suffix)).alias("base"))
     if hosts is None:
         return grid.select("org_key", F.concat(F.lit("https://"), "sub").alias("url"))
     known = hosts.select(F.col("host").alias("sub")).distinct().withColumn("there", F.lit(True))
@@ -88,3 +88,12 @@ def without_broken_hosts(urls: DataFrame, attempts: DataFrame) -> DataFrame:
     """URLs (host, url) but those of hosts that a first attempt found down."""
     down = attempts.groupBy("host").agg(F.min_by("status", "attempt").alias("s")).filter("s = 'timeout'").select("host")
     return urls.join(down, "host", "left_anti")
+
+
+def one_task_per_domain(urls: DataFrame, url: str) -> DataFrame:
+    """URLs placed so that all of a registered domain are in one partition, in order of URL: a fetcher that walks a
+    partition row by row never meets a domain from two sides. The partition streams; it isn't gathered."""
+    from boardwright.functions.text import host, registered_domain
+
+    placed = urls.withColumn("domain", registered_domain(host(F.col(url))))
+    return placed.repartition("domain").sortWithinPartitions("domain", url)

@@ -10,7 +10,7 @@ PAGE = f"""<html><head><script>var x = "<a href='/no'>no</a>";</script></head><b
 <ul><li>Posted 01/02/2026 <a href="/careers/sci.pdf">Recruitment of Scientist B</a></li>
 <li class="archive"><a href="/careers/old-one.html">Recruitment of Officer</a>
 <li><a href="/careers/sci.pdf#x">Recruitment of Scientist again</a>
-<li>Junior Engineer vacancy, last date 5 Mar 2026 <a href="/files/a.html">View</a>
+<li><div><div><div><div><div>Junior Engineer vacancy, last date 5 Mar 2026 <a href="/files/a.html">View</a></div></div></div></div></div>
 <li><a href="javascript:void(0)">Recruitment nothing</a><a href="/about">About us</a></ul></body></html>"""
 ROWS = f"""<html><body>{PAD}<table><tr><th>h</th></tr><tr><td>Result sheet of 2.3.2026</td><td><a href="x/1.pdf">PDF</a></td></tr><tr><td>nothing</td></tr></table></body></html>"""
 
@@ -106,3 +106,39 @@ def test_learn_online(spark, tmp_path):
     s = spark.readStream.schema("home_url string, career_url string").parquet(src)
     watch.learn_online(s, out, f"file://{tmp_path}/cp").awaitTermination(60)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_home_candidates_and_documents(spark):
+    doc = f"<html><body>{PAD}<a href='/careers/'>Careers</a><a href='/careers/'>Careers again</a><a href='/careers/x.pdf'>Careers</a><a href='https://b.example/careers'>Careers</a><a href='/zzz'>zzz</a></body></html>"
+    got = [(r.url, r.text) for r in html.home_candidates(pages(spark, doc), ("career",)).collect()]
+    assert got == [("https://a.example/careers/", "Careers")]
+    t = html.document_texts(spark.createDataFrame([("u", "x" * 9000), ("u", "x" * 9000)], "url string, text string")).first()
+    assert len(t.text) == 5000 and len(t.cache_key) == 16
+
+
+def test_state_files(spark, tmp_path):
+    from boardwright.sources import state
+
+    schema = "org_key string, hash string"
+    assert state.read_json(spark, f"file://{tmp_path}/none", schema).collect() == []
+    (tmp_path / "s.json").write_text('{"org_key":"o","hash":"a"}\nnot json\n')
+    before = state.read_json(spark, f"file://{tmp_path}/s.json", schema)
+    assert [tuple(r) for r in before.collect()] == [("o", "a")]
+    assert not state.write_state(before, before, f"file://{tmp_path}/a")
+    after = spark.createDataFrame([("o", "b")], schema)
+    assert state.write_state(before, after, f"file://{tmp_path}/b") and spark.read.parquet(f"file://{tmp_path}/b").count() == 1
+    for i in range(3):
+        last = state.append_history(spark.createDataFrame([(i, 1.0)], "seq int, relevant_pct double"), f"file://{tmp_path}/h", 2)
+    assert sorted(r.seq for r in last.collect()) == [1, 2]
+
+
+def test_domain_placement(spark):
+    from boardwright.operators.models import max_similarity
+    from boardwright.operators.registry import one_task_per_domain
+
+    urls = spark.createDataFrame([(f"https://h{i}.d{i % 3}.gov.in/",) for i in range(30)], "url string")
+    placed = one_task_per_domain(urls, "url").withColumn("p", F.spark_partition_id())
+    assert placed.groupBy("domain").agg(F.count_distinct("p").alias("n")).filter("n > 1").count() == 0
+    e = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "word string, vec array<double>")
+    t = spark.createDataFrame([(1, ["c", "b"]), (2, ["z"])], "k long, w array<string>")
+    assert [(r.k, r.word, r.profile_word, round(r.cosine, 3)) for r in max_similarity(t, "k", "w", e, ["a"]).collect()] == [(1, "c", "a", 0.707)]
