@@ -19,7 +19,7 @@ from boardwright.llm.ranks import ranked
 from boardwright.llm.tokens import TOKENIZER, count_tokens
 from boardwright.session import materialize
 
-BUCKETS = 128
+BUCKETS = 256
 
 
 def length_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
