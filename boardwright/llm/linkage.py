@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardwright.functions.text import link_form, title_words
+from boardwright.functions.text import link_form, title_form, title_words
 from boardwright.llm import bitmaps
 from boardwright.llm.blocking import BLOCK_SCHEMA, LEAST_WORDS, MEETS_LONG, ORDER_SLOTS, SHORT, alike, all_blocks, blocks, close, fingerprints, node_id, slot_counts, titled, word_hashes
 from boardwright.llm.copies import canonical
@@ -45,13 +45,23 @@ def _node_maker(counts: np.ndarray, total: int):
     return make
 
 
+def _day() -> Column:
+    return F.xxhash64(F.coalesce("date", F.lit("")))
+
+
 def _described(rows: DataFrame, key: str) -> DataFrame:
     """(nid, ws, title, ref, link, day): titled rows with what a link is scored by."""
-    base = rows.select(F.col(key).alias("ref"), "title", F.xxhash64(link_form(F.col("link"))).alias("link"), F.xxhash64(F.coalesce("date", F.lit(""))).alias("day"))
+    base = rows.select(F.col(key).alias("ref"), "title", F.xxhash64(link_form(F.col("link"))).alias("link"), _day().alias("day"))
     words = base.select("*", word_hashes(F.col("title")).alias("ws")).filter(F.size("ws") >= LEAST_WORDS)
     return words.select(node_id().alias("nid"), "ws", "title", "ref", "link", "day")
 
 
+def _forms(rows: DataFrame, key: str) -> DataFrame:
+    """(key, day, h1, h2): the hashes of exact forms, with the day that a copy is scored by."""
+    both = rows.select(F.struct(F.col(key).alias("key"), _day().alias("day")).alias("_k"), "title", "link")
+    return canonical(both, "_k", F.col("title"), F.col("link")).select("key.key", "key.day", "h1", "h2")
+
+
 class LinkageIndex:
     """Index of accepted rows at a path that outlives the call; ``create`` once, then ``append`` each batch."""
 
@@ -74,7 +84,7 @@ class LinkageIndex:
 
     def append(self, rows: DataFrame, key: str) -> None:
         _described(rows, key).mapInArrow(_node_maker(self.counts, self.total), _NODES).write.mode("append").parquet(f"{self.path}/nodes")
-        canonical(rows, key, F.col("title"), F.col("link")).write.mode("append").parquet(f"{self.path}/forms")
+        _forms(rows, key).write.mode("append").parquet(f"{self.path}/forms")
 
     @property
     def nodes(self) -> DataFrame:
@@ -82,7 +92,7 @@ class LinkageIndex:
 
     @property
     def forms(self) -> DataFrame:
-        return self.spark.read.schema("key long, h1 long, h2 long").parquet(f"{self.path}/forms")
+        return self.spark.read.schema("key long, day long, h1 long, h2 long").parquet(f"{self.path}/forms")
 
     def blocks_held(self, packed: bytes, bits: int) -> DataFrame:
         """(key, nid, fp, size, skips) of the index's blocks that the bitmap holds."""
@@ -140,6 +150,7 @@ class Probe:
         old = materialize(old, "old-candidates")
         c = mine.alias("c")
         new = a.join(c, (F.col("a.key") == F.col("c.key")) & (F.col("a.nid") != F.col("c.nid")) & close("a", "c")).select(F.col("a.nid").alias("a"), F.col("c.nid").alias("b")).distinct()
+        new = new.unionByName(self.nodes.select(F.col("nid").alias("a"), F.col("nid").alias("b")))  # later rows of a node against its first
         bits = bitmaps.bitmap_bits(old.count())
         there = bitmaps.keep(self.index.nodes.select("nid", "title", "ref", "link", "day"), "nid", bitmaps.build(old, "b", bits), bits)
         there = there.groupBy("nid").agg(F.min_by(F.struct("title", "ref", "link", "day"), "ref").alias("o"))
@@ -158,6 +169,16 @@ class Probe:
         state = first.join(known, ["h1", "h2"], "left")
         return mine.join(state, ["h1", "h2"]).filter(F.col("old").isNotNull() | (F.col("first") < F.col("key"))).select(F.col("key").alias("_seq"))
 
+    def _copied(self) -> DataFrame:
+        """(seq, match, from_history, p) of each row that has the forms of an earlier one; titles of any length."""
+        mine = _forms(self.rows, "_seq")
+        first = mine.groupBy("h1", "h2").agg(F.min(F.struct("key", "day")).alias("o"))
+        old = self.index.forms.join(first.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("key", "day")).alias("o"))
+        sides = old.withColumn("from_history", F.lit(True)).unionByName(first.withColumn("from_history", F.lit(False)))
+        pairs = mine.join(sides, ["h1", "h2"]).filter("from_history or o.key < key")
+        pattern = F.struct(F.lit(3).alias("title"), F.lit(1).alias("link"), (F.col("day") == F.col("o.day")).cast("int").alias("day"))
+        return pairs.select(F.col("key").alias("seq"), F.col("o.key").alias("match"), "from_history", pattern.alias("p"))
+
     def known(self) -> DataFrame:
         """(key, kind): 'copy' or 'near' of each row known already. Rows without words or forms are never known."""
         least = self._alike().groupBy("a").agg(F.min(F.coalesce("before", F.lit(-(2**62)))).alias("least"))
@@ -169,7 +190,7 @@ class Probe:
         return kinds.select((F.col("_seq") % (1 << 44)).alias(self.key), "kind")
 
     def links(self) -> DataFrame:
-        """(key, match, from_history, score, representative): the best earlier match of each batch node's rows.
+        """(key, match, from_history, score, representative): the best earlier match of each row that known() gives.
 
         match is the id of a history row or, with from_history false, of a row of the batch. A row's representative
         is what its chain of matches ends in.
@@ -177,10 +198,10 @@ class Probe:
         earlier = self._alike().withColumn("overlap", F.size(F.array_intersect(title_words(F.col("title")), title_words(F.col("o.title")))) / F.size(F.array_union(title_words(F.col("title")), title_words(F.col("o.title")))))
         rows = self.described.select(F.col("nid").alias("a"), "seq", F.col("link").alias("l"), F.col("day").alias("d"))
         pairs = earlier.join(rows, "a").filter(F.col("before").isNull() | (F.col("before") < F.col("seq")))
-        level = F.when(F.col("overlap") >= 1, 3).when(F.col("overlap") >= 0.85, 2).otherwise(1)
+        level = F.when((F.col("overlap") >= 1) | (title_form("title") == title_form("o.title")), 3).when(F.col("overlap") >= 0.85, 2).otherwise(1)
         pattern = F.struct(level.alias("title"), (F.col("l") == F.col("o.link")).cast("int").alias("link"), (F.col("d") == F.col("o.day")).cast("int").alias("day"))
         scored = pairs.select("seq", F.col("o.ref").alias("match"), F.col("before").isNull().alias("from_history"), pattern.alias("p"))
-        scored = materialize(scored, "scored")
+        scored = materialize(scored.unionByName(self._copied()).distinct(), "scored")
         counts = {tuple(r.p): r["count"] for r in scored.groupBy("p").count().collect()}  # at most 12 patterns
         table = self.index.spark.createDataFrame([(*p, s) for p, s in pattern_scores(counts).items()] or [(0, 0, 0, 0.0)], "t int, l int, y int, score double")
         found = scored.join(F.broadcast(table), (F.col("p.title") == F.col("t")) & (F.col("p.link") == F.col("l")) & (F.col("p.day") == F.col("y")))

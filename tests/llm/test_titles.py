@@ -159,6 +159,21 @@ def test_linkage_without_history(spark):
     assert {r.incoming_id: r.kind for r in linkage.Probe(index, df, "incoming_id", "batch_id").known().collect()} == {2: "near"}
 
 
+INCOMING = "incoming_id long, batch_id int, title string, link string, date string, org_key string"
+
+
+def test_links_of_all_known_rows(spark):
+    """Repeats within the batches and copies of short titles are linked too: links() has the keys of known()."""
+    rows = made(8, 240)
+    index = linkage.LinkageIndex.create(spark.createDataFrame(rows[:100], JOBS), scratch_path(spark, "l3"))
+    more = ["solely in the batches a b c", "Solely, in the batches: a b c", "one two"]
+    later = [(r[0], 1 + i // 40, r[1], r[2], "1.1.2026", "o") for i, r in enumerate(rows[100:])] + [(900 + i, 9, t, f"https://b.x/{i // 2}", "", "o") for i, t in enumerate([*more, "one two", "One two!"])]
+    probe = linkage.Probe(index, spark.createDataFrame(later, INCOMING), "incoming_id", "batch_id")
+    links = {r.incoming_id: r for r in probe.links().collect()}
+    assert set(links) == {r.incoming_id for r in probe.known().collect()} >= {901, 903}
+    assert (links[901].match, links[901].from_history, links[903].match) == (900, False, 902)
+
+
 def test_pattern_scores():
     counts = {(3, 1, 1): 60, (1, 0, 0): 300, (2, 1, 0): 20, (1, 0, 1): 10}
     s = linkage.pattern_scores(counts)
