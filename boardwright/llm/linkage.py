@@ -3,7 +3,8 @@
 The index holds the nodes (word set and form) with their pigeonhole blocks, the hashes of exact forms, and the word
 order that was fixed when it was made. A probe marks the batch's keys in a bitmap, reads only index rows that
 it holds, joins those on blocks and checks the words. Links are scored by the Fellegi-Sunter model, whose weights
-EM learns from the counts of comparison patterns; each known row is linked to its best match, and a union-find
+EM learns from the counts of comparison patterns; each pattern that a row of an earlier title makes is
+scored, by the least such row. Each known row is linked to its best match, and a union-find
 mapping from row to representative is extended for the rows touched, by pointer jumping.
 """
 
@@ -27,19 +28,27 @@ _NODES = "nid long, title string, ref long, link long, day long, fp long, size i
 
 
 def _node_maker(counts: np.ndarray, total: int):
+    """One row for each node, link and day of a batch, that of the least ref; the blocks stand with the node's first."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            nid, first = np.unique(b.column("nid").to_numpy(), return_index=True)
-            b = b.take(pa.array(first))
+            nid, link, day, ref = (b.column(c).to_numpy() for c in ("nid", "link", "day", "ref"))
+            order = np.lexsort((ref, day, link, nid))
+            changes = lambda x: np.append([True], x[order][1:] != x[order][:-1])
+            node = changes(nid)
+            keep = node | changes(link) | changes(day)
+            b, lead = b.take(pa.array(order[keep])), np.nonzero(node[keep])[0]
             ws = b.column("ws")
             flat, sizes = ws.flatten().to_numpy(), ws.value_lengths().to_numpy().astype(np.int64)
-            row, key, skips = all_blocks(flat, sizes, counts, total, SHORT + 1)
+            own = ws.take(pa.array(lead))
+            row, key, skips = all_blocks(own.flatten().to_numpy(), sizes[lead], counts, total, SHORT + 1)
+            row = lead[row]
             order = np.argsort(row, kind="stable")
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(nid)))]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (key.view(np.int64)[order], skips[order].astype(np.int32))]
-            cols = [pa.array(nid), b.column("title"), b.column("ref"), b.column("link"), b.column("day"), pa.array(fingerprints(flat, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), *lists]
+            cols = [b.column("nid"), b.column("title"), b.column("ref"), b.column("link"), b.column("day"), pa.array(fingerprints(flat, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), *lists]
             yield pa.RecordBatch.from_arrays(cols, ["nid", "title", "ref", "link", "day", "fp", "size", "keys", "skips"])
 
     return make
@@ -135,8 +144,8 @@ class Probe:
         # copies beyond number are combined in each task; one node stays
         self.nodes = self.described.groupBy("nid").agg(F.min("seq").alias("first"), first).select("nid", "first", "v.*").persist()
 
-    def _alike(self) -> DataFrame:
-        """(a, b, before): node a of the batch, node b of the index (before null) or of the batch (its first row)."""
+    def _alike(self) -> tuple[DataFrame, DataFrame]:
+        """(a, b, from_history, title, other): node a of the batch, node b of the index or of the batch, their titles; and the index's rows of such b."""
         mine = blocks(self.nodes, self.index.counts, self.index.total, MEETS_LONG).persist()
         bits = bitmaps.bitmap_bits(mine.count())
         held = self.index.blocks_held(bitmaps.build(mine, "key", bits), bits)
@@ -152,14 +161,12 @@ class Probe:
         new = a.join(c, (F.col("a.key") == F.col("c.key")) & (F.col("a.nid") != F.col("c.nid")) & close("a", "c")).select(F.col("a.nid").alias("a"), F.col("c.nid").alias("b")).distinct()
         new = new.unionByName(self.nodes.select(F.col("nid").alias("a"), F.col("nid").alias("b")))  # later rows of a node against its first
         bits = bitmaps.bitmap_bits(old.count())
-        there = bitmaps.keep(self.index.nodes.select("nid", "title", "ref", "link", "day"), "nid", bitmaps.build(old, "b", bits), bits)
-        there = there.groupBy("nid").agg(F.min_by(F.struct("title", "ref", "link", "day"), "ref").alias("o"))
-        here = self.nodes.select("nid", F.struct("title", F.col("first").alias("ref"), "link", "day").alias("o"))
+        there = bitmaps.keep(self.index.nodes.select("nid", "title", "ref", "link", "day"), "nid", bitmaps.build(old, "b", bits), bits).persist()
+        text = lambda nodes, side: nodes.select(F.col("nid").alias("b"), F.col("title").alias("other"), F.lit(side).alias("from_history"))
+        other = text(there.groupBy("nid").agg(F.min("title").alias("title")), True).unionByName(text(self.nodes, False))
         title = self.nodes.select(F.col("nid").alias("a"), "title")
-        old = old.join(there.withColumnRenamed("nid", "b"), "b").withColumn("before", F.lit(None).cast("long"))
-        new = new.join(here.withColumnRenamed("nid", "b"), "b").withColumn("before", F.col("o.ref"))
-        both = old.unionByName(new).join(title, "a")
-        return both.filter((F.col("a") == F.col("b")) | alike(F.col("title"), F.col("o.title"))).select("a", "b", "before", "o", "title")
+        both = old.withColumn("from_history", F.lit(True)).unionByName(new.withColumn("from_history", F.lit(False))).join(other, ["b", "from_history"]).join(title, "a")
+        return both.filter((F.col("a") == F.col("b")) | alike(F.col("title"), F.col("other"))), there
 
     def _copies(self) -> DataFrame:
         """(seq) of the rows that have the forms of an earlier row."""
@@ -172,16 +179,19 @@ class Probe:
     def _copied(self) -> DataFrame:
         """(seq, match, from_history, p) of each row that has the forms of an earlier one; titles of any length."""
         mine = _forms(self.rows, "_seq")
-        first = mine.groupBy("h1", "h2").agg(F.min(F.struct("key", "day")).alias("o"))
-        old = self.index.forms.join(first.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("key", "day")).alias("o"))
-        sides = old.withColumn("from_history", F.lit(True)).unionByName(first.withColumn("from_history", F.lit(False)))
-        pairs = mine.join(sides, ["h1", "h2"]).filter("from_history or o.key < key")
-        pattern = F.struct(F.lit(3).alias("title"), F.lit(1).alias("link"), (F.col("day") == F.col("o.day")).cast("int").alias("day"))
-        return pairs.select(F.col("key").alias("seq"), F.col("o.key").alias("match"), "from_history", pattern.alias("p"))
+        forms = mine.select("h1", "h2").distinct()
+        old = self.index.forms.join(forms, ["h1", "h2"], "left_semi")
+        sides = old.withColumn("h", F.lit(True)).unionByName(mine.withColumn("h", F.lit(False))).withColumnRenamed("key", "ref")
+        days = least_of(sides.groupBy("h1", "h2", "h", "day").agg(F.min("ref").alias("ref")).persist(), ["h1", "h2", "h"], "day")
+        same = sides.groupBy("h1", "h2", "h", "day").agg(F.min("ref").alias("r11"))
+        pairs = mine.join(days, ["h1", "h2"]).join(same, ["h1", "h2", "h", "day"], "left")
+        pairs = pairs.select(F.col("key").alias("seq"), "h", F.lit(3).alias("level"), "r11", other_than(F.col("day"), "day").alias("r10"))
+        return _patterns(pairs, ("r11", "r10"))
 
     def known(self) -> DataFrame:
         """(key, kind): 'copy' or 'near' of each row known already. Rows without words or forms are never known."""
-        least = self._alike().groupBy("a").agg(F.min(F.coalesce("before", F.lit(-(2**62)))).alias("least"))
+        first = self.nodes.select(F.col("nid").alias("b"), F.lit(False).alias("from_history"), F.col("first").alias("before"))
+        least = self._alike()[0].join(first, ["b", "from_history"], "left").groupBy("a").agg(F.min(F.coalesce("before", F.lit(-(2**62)))).alias("least"))
         state = self.nodes.select("nid", "first").join(least.withColumnRenamed("a", "nid"), "nid", "left")
         state = state.select("nid", F.least("first", F.coalesce("least", F.col("first"))).alias("earliest"))
         near = self.described.select("nid", "seq").join(state, "nid").filter("earliest < seq").select(F.col("seq").alias("_seq"))
@@ -195,12 +205,15 @@ class Probe:
         match is the id of a history row or, with from_history false, of a row of the batch. A row's representative
         is what its chain of matches ends in.
         """
-        earlier = self._alike().withColumn("overlap", F.size(F.array_intersect(title_words(F.col("title")), title_words(F.col("o.title")))) / F.size(F.array_union(title_words(F.col("title")), title_words(F.col("o.title")))))
-        rows = self.described.select(F.col("nid").alias("a"), "seq", F.col("link").alias("l"), F.col("day").alias("d"))
-        pairs = earlier.join(rows, "a").filter(F.col("before").isNull() | (F.col("before") < F.col("seq")))
-        level = F.when((F.col("overlap") >= 1) | (title_form("title") == title_form("o.title")), 3).when(F.col("overlap") >= 0.85, 2).otherwise(1)
-        pattern = F.struct(level.alias("title"), (F.col("l") == F.col("o.link")).cast("int").alias("link"), (F.col("d") == F.col("o.day")).cast("int").alias("day"))
-        scored = pairs.select("seq", F.col("o.ref").alias("match"), F.col("before").isNull().alias("from_history"), pattern.alias("p"))
+        alike_nodes, there = self._alike()
+        words, others = title_words(F.col("title")), title_words(F.col("other"))
+        overlap = F.size(F.array_intersect(words, others)) / F.size(F.array_union(words, others))
+        level = F.when((overlap >= 1) | (title_form("title") == title_form("other")), 3).when(overlap >= 0.85, 2).otherwise(1)
+        nodes = materialize(alike_nodes.select("a", "b", F.col("from_history").alias("h"), level.alias("level")), "alike-nodes")
+        least = there.select("nid", "link", "day", "ref", F.lit(True).alias("h")).unionByName(self.described.select("nid", "link", "day", F.col("seq").alias("ref"), F.lit(False).alias("h")))
+        least = least.groupBy("nid", "h", "link", "day").agg(F.min("ref").alias("ref"))
+        rows = self.described.select(F.col("nid").alias("a"), "seq", "link", "day")
+        scored = _patterns(nearest(nodes.join(rows, "a"), materialize(least, "compared")))
         scored = materialize(scored.unionByName(self._copied()).distinct(), "scored")
         counts = {tuple(r.p): r["count"] for r in scored.groupBy("p").count().collect()}  # at most 12 patterns
         table = self.index.spark.createDataFrame([(*p, s) for p, s in pattern_scores(counts).items()] or [(0, 0, 0, 0.0)], "t int, l int, y int, score double")
@@ -214,6 +227,52 @@ class Probe:
         return out.select((F.col("seq") % same).alias(self.key), F.when(F.col("from_history"), F.col("match")).otherwise(F.col("match") % same).alias("match"), "from_history", F.round("score", 6).alias("score"), F.when(F.col("rooted"), F.col("root")).otherwise(F.col("root") % same).alias("representative"))
 
 
+def least_of(rows: DataFrame, by: list[str], other: str) -> DataFrame:
+    """(by, one, two): of rows (by, other, ref) the least (ref, other), and the least ref whose other differs from that one's."""
+    one = rows.groupBy(*by).agg(F.min(F.struct("ref", other)).alias("one"))
+    two = rows.join(one, by).groupBy(*by).agg(F.min(F.when(F.col(other) != F.col(f"one.{other}"), F.col("ref"))).alias("two"))
+    return one.join(two, by)
+
+
+def other_than(value: Column, other: str) -> Column:
+    """The least ref whose other differs from value, of the columns that least_of gives."""
+    return F.when(F.col(f"one.{other}") != value, F.col("one.ref")).otherwise(F.col("two"))
+
+
+def nearest(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """pairs (b, h, link, day, ...) with r11, r10, r01, r00: the least ref of node b's rows whose link and day agree (1) or differ (0).
+
+    least: (nid, h, link, day, ref). Any row differs from one link and one day, so a few rows of a node serve all
+    r00: the least of all, and the least that differ from it and from each other where a pair rules it out.
+    """
+    least = least.withColumnRenamed("nid", "b")
+    node, v = ["b", "h"], F.struct("ref", "link", "day")
+    first = lambda condition: F.min(F.when(condition, v))
+    differs = lambda field, w: F.col(field) != F.col(f"{w}.{field}")
+    one = least.join(least.groupBy(*node).agg(F.min(v).alias("w1")), node)
+    two = one.groupBy(*node).agg(F.first("w1").alias("w1"), first(differs("link", "w1")).alias("w2"), first(differs("day", "w1")).alias("w3"), first(differs("link", "w1") & differs("day", "w1")).alias("w6"))
+    four = least.join(two, node).groupBy(*node).agg(first(differs("link", "w1") & differs("day", "w2")).alias("w4"), first(differs("day", "w1") & differs("link", "w3")).alias("w5"))
+    witnesses = two.join(four, node)
+    links = least_of(least, [*node, "link"], "day").select(*node, "link", F.struct("one", "two").alias("by_link"))
+    days = least_of(least, [*node, "day"], "link").select(*node, "day", F.struct("one", "two").alias("by_day"))
+    same = least.withColumnRenamed("ref", "r11")
+    out = pairs.join(witnesses, node).join(links, [*node, "link"], "left").join(days, [*node, "day"], "left").join(same, [*node, "link", "day"], "left")
+    r10 = F.when(F.col("by_link.one.day") != F.col("day"), F.col("by_link.one.ref")).otherwise(F.col("by_link.two"))
+    r01 = F.when(F.col("by_day.one.link") != F.col("link"), F.col("by_day.one.ref")).otherwise(F.col("by_day.two"))
+    r00 = (
+        F.when(differs("link", "w1") & differs("day", "w1"), F.col("w1.ref")).when(differs("day", "w1"), F.when(differs("day", "w2"), F.col("w2.ref")).otherwise(F.col("w4.ref")))
+        .when(differs("link", "w1"), F.when(differs("link", "w3"), F.col("w3.ref")).otherwise(F.col("w5.ref"))).otherwise(F.col("w6.ref"))
+    )
+    return out.select(*pairs.columns, "r11", r10.alias("r10"), r01.alias("r01"), r00.alias("r00"))
+
+
+def _patterns(pairs: DataFrame, refs: tuple[str, ...] = ("r11", "r10", "r01", "r00")) -> DataFrame:
+    """(seq, match, from_history, p) of pairs (seq, h, level, refs): one row for each pattern that an earlier row has."""
+    each = F.array(*[F.struct(F.col(r).alias("match"), F.struct(F.col("level").alias("title"), F.lit(int(r[1])).alias("link"), F.lit(int(r[2])).alias("day")).alias("p")) for r in refs])
+    found = pairs.select("seq", F.col("h").alias("from_history"), F.explode(each).alias("x"))
+    return found.select("seq", "x.match", "from_history", "x.p").filter("match is not null and (from_history or match < seq)")
+
+
 def pattern_scores(counts: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[int, ...], float]:
     """Log-odds of each comparison pattern, by EM under conditional independence of the fields."""
     if not counts:

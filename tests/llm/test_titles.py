@@ -174,6 +174,28 @@ def test_links_of_all_known_rows(spark):
     assert (links[901].match, links[901].from_history, links[903].match) == (900, False, 902)
 
 
+def test_links_to_the_row_that_agrees_best(spark):
+    """Not the oldest row of a title, but that of the same link and day; titles of six words and short copies."""
+    title = "clerk post at agra board office"
+    history = [(1, title, "https://a.x/1", "o", "s", None, None, "#", "1.1.2026", 7, "c"), (2, title, "https://a.x/2", "o", "s", None, None, "#", "2.1.2026", 7, "c")]
+    history += [(3, "one two", "https://a.x/3", "o", "s", None, None, "#", "1.1.2026", 7, "c"), (4, "one two", "https://a.x/3", "o", "s", None, None, "#", "2.1.2026", 7, "c")]
+    index = linkage.LinkageIndex.create(spark.createDataFrame(history, JOBS).coalesce(1), scratch_path(spark, "best"))
+    later = [(10, 1, title, "https://a.x/2", "2.1.2026", "o"), (11, 1, "One two", "https://a.x/3", "2.1.2026", "o"), (12, 2, title, "https://a.x/5", "5.1.2026", "o"), (13, 2, title, "https://a.x/5", "5.1.2026", "o")]
+    got = {r.incoming_id: (r.match, r.from_history) for r in linkage.Probe(index, spark.createDataFrame(later, INCOMING), "incoming_id", "batch_id").links().collect()}
+    assert got == {10: (2, True), 11: (4, True), 12: (1, True), 13: (12, False)}
+
+
+def test_nearest_of_each_pattern(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(4), True, rng.randrange(4), rng.randrange(4), i) for i in rng.sample(range(1000), 40)]
+    keep = {(n, h, x, y): min(r[4] for r in rows if r[:4] == (n, h, x, y)) for n, h, x, y, _ in rows}
+    least = spark.createDataFrame([(*k, v) for k, v in keep.items()], "nid long, h boolean, link long, day long, ref long")
+    pairs = spark.createDataFrame([(n, True, x, y) for n in range(4) for x in range(5) for y in range(5)], "b long, h boolean, link long, day long")
+    got = linkage.nearest(pairs, least).collect()
+    pick = lambda r, a, b: min((v for (n, _, x, y), v in keep.items() if n == r.b and (x == r.link) == a and (y == r.day) == b), default=None)
+    assert len(got) == 100 and all((r.r11, r.r10, r.r01, r.r00) == (pick(r, True, True), pick(r, True, False), pick(r, False, True), pick(r, False, False)) for r in got)
+
+
 def test_pattern_scores():
     counts = {(3, 1, 1): 60, (1, 0, 0): 300, (2, 1, 0): 20, (1, 0, 1): 10}
     s = linkage.pattern_scores(counts)
