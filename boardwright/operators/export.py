@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,20 +14,20 @@ from boardwright.operators.report import ordered_index
 FIELDS = ("title", "link", "apply_link", "pdf_link", "date", "date_iso", "tier")
 
 
-def export_orgs(postings: DataFrame, orgs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(org_key, name, url, status, category, jobs): one document per org, postings by pos. Missing fields become ''.
+def export_orgs(postings: DataFrame, orgs: DataFrame, outcomes: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """(per, org_key, name, url, status, category, jobs): one document per org, and for each ``per``, postings by pos. Missing fields become ''.
 
     The document of one org is one value by definition, as long as its postings are.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    jobs = postings.select("org_key", "pos", *[text(c) for c in FIELDS])
-    nested = jobs.groupBy("org_key").agg(F.array_sort(F.collect_list(F.struct("pos", *FIELDS))).alias("j"))
-    nested = nested.select("org_key", F.transform("j", lambda x: F.struct(*[x[c].alias(c) for c in FIELDS])).alias("jobs"))
-    status = outcomes.groupBy("org_key").agg(F.max_by("status", "run_id").alias("status"))
+    jobs = postings.select(*per, "org_key", "pos", *[text(c) for c in FIELDS])
+    nested = jobs.groupBy(*per, "org_key").agg(F.array_sort(F.collect_list(F.struct("pos", *FIELDS))).alias("j"))
+    nested = nested.select(*per, "org_key", F.transform("j", lambda x: F.struct(*[x[c].alias(c) for c in FIELDS])).alias("jobs"))
+    status = outcomes.groupBy(*per, "org_key").agg(F.max_by("status", "run_id").alias("status"))
     known = orgs.groupBy("org_key").agg(F.min("name").alias("name"), F.min("url").alias("url"), F.min("category").alias("category"))
-    both = status.join(known, "org_key", "left").join(nested, "org_key", "left")
+    both = status.join(known, "org_key", "left").join(nested, [*per, "org_key"], "left")
     return both.select(
-        "org_key", F.coalesce("name", F.upper("org_key")).alias("name"), text("url"), "status", F.coalesce("category", F.lit("other")).alias("category"),
+        *per, "org_key", F.coalesce("name", F.upper("org_key")).alias("name"), text("url"), "status", F.coalesce("category", F.lit("other")).alias("category"),
         F.coalesce("jobs", F.expr("cast(array() as array<struct<title:string,link:string,apply_link:string,pdf_link:string,date:string,date_iso:string,tier:string>>)")).alias("jobs"),
     )
 
@@ -107,15 +107,15 @@ def chat_chunks(alerts: DataFrame) -> DataFrame:
     return placed.mapInArrow(_chunks, "channel string, chunk_no int, text string")
 
 
-def mail_sections(postings: DataFrame, orgs: DataFrame) -> DataFrame:
-    """(org_key, body, html): text and HTML list of an org's postings by pos; uncertain ones carry a warning."""
+def mail_sections(postings: DataFrame, orgs: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """(per, org_key, body, html): text and HTML list of an org's postings by pos, for each ``per`` (a mail); uncertain ones carry a warning."""
     mark = F.when(F.col("relevance") == "uncertain", "[check] ").otherwise("")
     title, link = F.coalesce("title", F.lit("")), F.coalesce("link", F.lit(""))
     item = F.struct("pos", F.concat(mark, title, F.lit(" - "), link).alias("t"), F.concat(F.lit("<li>"), mark, escape_html(title), F.lit("</li>")).alias("h"))
-    rows = postings.filter("relevance != 'excluded'").groupBy("org_key").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    rows = postings.filter("relevance != 'excluded'").groupBy(*per, "org_key").agg(F.array_sort(F.collect_list(item)).alias("i"))
     names = orgs.groupBy("org_key").agg(F.min("name").alias("name"))
     both = rows.join(names, "org_key", "left").withColumn("n", F.coalesce("name", F.upper("org_key")))
-    return both.select("org_key", F.concat_ws("\n", F.col("n"), F.transform("i", lambda x: x["t"])).alias("body"), F.concat(F.lit("<h3>"), escape_html(F.col("n")), F.lit("</h3><ul>"), F.concat_ws("", F.transform("i", lambda x: x["h"])), F.lit("</ul>")).alias("html"))
+    return both.select(*per, "org_key", F.concat_ws("\n", F.col("n"), F.transform("i", lambda x: x["t"])).alias("body"), F.concat(F.lit("<h3>"), escape_html(F.col("n")), F.lit("</h3><ul>"), F.concat_ws("", F.transform("i", lambda x: x["h"])), F.lit("</ul>")).alias("html"))
 
 
 def log_tail(lines: DataFrame, n: int = 100, seq: str = "seq") -> DataFrame:

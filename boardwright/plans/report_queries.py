@@ -191,14 +191,21 @@ def export_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("org_key", "name", "status", "category", one).select("org_key", "name", "status", "category", "j.title", "j.link", "j.tier")
 
 
+def export_run_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A document per run and org; export_documents is the run that its SQL names."""
+    jobs = _t(spark, d, "jobs").withColumn("tier", F.col("relevance"))
+    docs = export.export_orgs(jobs, _t(spark, d, "org_registry"), _outcomes(jobs), ["run_id"])
+    return docs.select("run_id", "org_key", "name", "status", "category", F.explode_outer("jobs").alias("j")).select("run_id", "org_key", "name", "status", "category", "j.title", "j.link", "j.tier")
+
+
 def chat_chunks(spark: SparkSession, d: str) -> DataFrame:
-    jobs = _t(spark, d, "jobs").filter("relevance = 'relevant' and run_id % 10 = 1").join(F.broadcast(_t(spark, d, "org_registry").select("org_key", "name")), "org_key")
+    jobs = _t(spark, d, "jobs").filter("relevance = 'relevant'").join(F.broadcast(_t(spark, d, "org_registry").select("org_key", "name")), "org_key")
     text_of = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return export.chat_chunks(jobs.select(F.col("run_id").cast("string").alias("channel"), F.struct("org_key", "job_id").alias("o"), "name", text_of("title"), text_of("link")).withColumn("ord", F.concat_ws("|", "o.org_key", F.lpad(F.col("o.job_id").cast("string"), 12, "0"))).drop("o"))
 
 
 def mail_sections(spark: SparkSession, d: str) -> DataFrame:
-    return export.mail_sections(_t(spark, d, "jobs").filter("run_id = 4"), _t(spark, d, "org_registry"))
+    return export.mail_sections(_t(spark, d, "jobs"), _t(spark, d, "org_registry"), ["run_id"])
 
 
 def log_tail(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +265,7 @@ def watch_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (coverage_report, coverage_total, tier_summary, source_percentages, outcome_totals, run_alerts, new_per_run, state_changes, next_state, gone_postings, allowed_links, posting_merge, merge_whole_orgs, browse_newest, browse_oldest, browse_by_org, orgs_with_jobs, relevant_markdown, top_bottom, trend, trend_change, archive_tail, failure_classes, registry_aliases, seed_registry, added_seeds, portal_grid, org_batch, first_seen_links, best_links, broken_hosts, export_documents, chat_chunks, mail_sections, log_tail, feed_records, event_props, html_postings, html_links, script_apps, watch_stream)}
+    return {f.__name__: f for f in (coverage_report, coverage_total, tier_summary, source_percentages, outcome_totals, run_alerts, new_per_run, state_changes, next_state, gone_postings, allowed_links, posting_merge, merge_whole_orgs, browse_newest, browse_oldest, browse_by_org, orgs_with_jobs, relevant_markdown, top_bottom, trend, trend_change, archive_tail, failure_classes, registry_aliases, seed_registry, added_seeds, portal_grid, org_batch, first_seen_links, best_links, broken_hosts, export_documents, export_run_documents, chat_chunks, mail_sections, log_tail, feed_records, event_props, html_postings, html_links, script_apps, watch_stream)}
 
 
 _HASH = f"sha256(coalesce({_strip('title')}, '') || coalesce({_strip('link')}, ''))"

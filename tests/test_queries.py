@@ -45,6 +45,18 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in res.fetchall()), key=repr)
 
 
+def test_documents_of_all_runs(spark, duck):
+    """Chat messages, mail sections and documents are made of every run's postings."""
+    q, one = entry.queries(), lambda sql: duck.execute(sql).fetchall()
+    chat = q["chat_chunks"](spark, DATA).collect()
+    assert {(int(r.channel),) for r in chat} == set(one("select distinct run_id from jobs where relevance = 'relevant'"))
+    assert sum(line.startswith("- ") for r in chat for line in r.text.splitlines()) == one("select count(*) from jobs where relevance = 'relevant'")[0][0]
+    mail = [tuple(r) for r in q["mail_sections"](spark, DATA).select("run_id", "org_key").collect()]
+    assert sorted(mail) == sorted(one("select distinct run_id, org_key from jobs where relevance <> 'excluded'"))
+    docs = [tuple(r) for r in q["export_run_documents"](spark, DATA).select("run_id", "org_key", "title").collect()]
+    assert sorted(docs) == sorted(one("select run_id, org_key, coalesce(title, '') from jobs"))
+
+
 def test_core_stands_alone():
     import pathlib
 
