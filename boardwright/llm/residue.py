@@ -2,8 +2,8 @@
 
 Each delimiter of template languages has its own grammar. Strong delimiters ({{ }}, <%= %>, ${ } ...) hold any
 expression; weak ones ({ }, < >, [ ], ( )) must hold a field name or an instruction to fill one in, because text
-also uses them ("{Civil} Wing", "[Insert Sheet B]"). Code blocks are set aside, and in a tutorial a placeholder
-counts only where placeholders make up most of the text.
+also uses them ("{Civil} Wing", "[Insert Sheet B]"). Code blocks are set aside, and beside words that explain templates
+a placeholder counts only where placeholders make up most of the text. Filler, errors and scripts have no such discount.
 """
 
 from __future__ import annotations
@@ -70,7 +70,9 @@ PLACEHOLDERS = (
 #: What every placeholder has; a text without needs no further look for one.
 _MARKS = r"[{}<>%$@«»]|__|\[\[|&lt;|\[[^\]]{0,60}\b(?:insert|enter|add|type|fill|here|filled|inserted)\b|\(\s*(?:enter|insert)\b|\bxx|goes here|to be filled"
 _CODE_BLOCK = r"(?s)```.*?```|`[^`\n]+`|<(?:pre|code)\b.*?</(?:pre|code)>"
-_TUTORIAL = r"\b(?:tutorials?|syntax|documentation|for example|e\.g\.|how to (?:use|write)|template (?:language|engine|variable)s?|placeholders? (?:like|such as)|string interpolation)\b"
+#: What explains templates; it must stand near a placeholder. Words that headings use as well ("documentation", "syntax", "tutorial") don't do alone.
+_EXPLAINED = r"\b(?:how to (?:use|write)|template (?:language|engine|variable|syntax|tag)s?|(?:in|of|with) (?:the )?templates|placeholders? (?:like|such as)|string interpolation)\b"
+_NEAR = r"[^|]{0,40}?"
 _ENDS = r"[\s.,!…\"'“”‘’*•»-]*"
 _SEP = r"(?:\||::|\s[-–—]\s)"
 
@@ -99,13 +101,13 @@ def _kind(low: Column) -> Column:
     outside = F.when(low.rlike(r"`|<(?:pre|code)\b"), F.trim(F.regexp_replace(low, _CODE_BLOCK, " "))).otherwise(low)
     filled = F.regexp_replace(outside, _any(PLACEHOLDERS), "")
     sparse = (1 - F.length(filled) / F.greatest(F.length(outside), F.lit(1))) < 0.5
-    tutorial = low.rlike(_TUTORIAL)
+    holds = _any(PLACEHOLDERS)
+    tutorial = outside.rlike(_EXPLAINED) & outside.rlike(f"{_EXPLAINED}{_NEAR}{holds}|{holds}{_NEAR}{_EXPLAINED}")
     part = rf"^{_ENDS}{_any(WHOLE_PARTS)}{_ENDS}(?:$|{_SEP}(?:\s*[^\s|]+){{0,4}}\s*$)"
     phrase = lambda patterns: outside.rlike(rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_any(patterns)}")
     return (
         F.when(low == "", None)
         .when(marked & outside.rlike(_any(PLACEHOLDERS)) & ~(tutorial & sparse), "placeholder")
-        .when(tutorial, None)
         .when(phrase(SCRIPT_PHRASES), "script")
         .when(phrase((*ERROR_PHRASES, *STATUS_LINES)), "error")
         .when(phrase(FILLER_PHRASES) | outside.rlike(part), "filler")

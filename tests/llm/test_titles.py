@@ -247,6 +247,16 @@ def test_residue(spark):
     assert all(got.get(r.i) == r.k for r in both)
 
 
+def test_residue_beside_words_of_tutorials(spark):
+    cases = {
+        "Parse error: syntax error, unexpected end of file": "error", "Documentation Officer - please enable JavaScript": "script", "Documentation Officer lorem ipsum": "filler", "Recruitment of Documentation Officer {{department}}": "placeholder",
+        "Tutorial Fellow (e.g. physics) for {{department}} at Agra": "placeholder", "Syntax error - 404 Not Found": "error", "Documentation Officer, Agra": None, "Template syntax: {{ title }} prints the heading of a notice": None, "Placeholders such as {{ title }} and their use in notices": None,
+        "How to use the library - Agra | Recruitment to the posts of {{designation}}": "placeholder",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.k for r in df.select("t", residue.residue_kind(F.col("t")).alias("k")).collect()} == cases
+
+
 def test_blocks_meet(spark):
     import numpy as np
 
