@@ -83,7 +83,7 @@ def _neighbours(s: dict[str, np.ndarray], c: Chunk) -> tuple[np.ndarray, np.ndar
 
 
 def _runs(s: dict[str, np.ndarray], c: Chunk, most: int) -> dict[str, np.ndarray]:
-    """Name maximal runs of equal symbols of up to ``most`` characters; what isn't longer alone depends on its neighbours."""
+    """Name maximal runs of equal symbols of up to ``most`` characters; what isn't longer alone depends on its neighbours, in a longer run on more of it than ``most``."""
     if len(s["name"]) < 2:
         return s
     _, right, lo, hi = _neighbours(s, c)
@@ -95,13 +95,20 @@ def _runs(s: dict[str, np.ndarray], c: Chunk, most: int) -> dict[str, np.ndarray
     whole = s["end"][last] - s["start"][first]
     merge = (last > first) & (whole <= most)
     could = (s["end"] - s["start"]) * 2 <= most
+    k = np.nonzero(could & ((last > first) & (whole > most))[group])[0]
+    n = most // (s["end"] - s["start"])[k] + 1  # so many of the run's symbols are over ``most``, which is why none is merged
+    window = np.clip(k - n // 2, first[group[k]], last[group[k]] - n + 1)
+    reach = np.column_stack([window, window + n]).ravel()
+    far = [f.reduceat(np.append(s[x], 0), reach)[::2] for f, x in ((np.minimum, "lo"), (np.maximum, "hi"))] if len(k) else []
     s = s | {"lo": np.where(could, np.minimum(s["lo"], lo), s["lo"]), "hi": np.where(could, np.maximum(s["hi"], hi), s["hi"])}
+    if len(k):
+        s["lo"][k], s["hi"][k] = np.minimum(s["lo"][k], far[0]), np.maximum(s["hi"][k], far[1])
     keep = head | ~merge[group]
     at = group[keep]
     m = merge[at] & head[keep]
     out = {k: v[keep].copy() for k, v in s.items()}
     out["end"][m] = s["end"][last[at[m]]]
-    out["hi"][m] = s["hi"][last[at[m]]]
+    out["lo"][m], out["hi"][m] = np.minimum.reduceat(s["lo"], first)[at[m]], np.maximum.reduceat(s["hi"], first)[at[m]]
     out["name"][m] = _mix(out["name"][m] * np.uint64(3) ^ (last - first + 1)[at[m]].astype(np.uint64))
     return out
 

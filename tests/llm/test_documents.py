@@ -72,6 +72,25 @@ def test_support_decides_symbols():
         assert sets[0] == sets[1] and sets[0]
 
 
+def test_runs_of_different_length_before_one_passage():
+    """No stretch of 200 characters that both texts have is excluded, whatever the lengths of the runs beside it."""
+    rng, missed, least = random.Random(4), [], 200
+    cases = [("* ", 20, 12, 176, "", "")]
+    cases += [(rng.choice(["* ", "- ", "ab ", "a b ", "* * - ", "word "]), rng.randrange(2, 40), rng.randrange(2, 40), rng.randrange(120, 260), *rng.choices(["", "x ", "zz yy "], k=2)) for _ in range(400)]
+    for unit, m, n, size, left, right in cases:
+        passage = "".join(rng.choice("abcdefgh ") for _ in range(size))
+        for turned in (False, True):  # the run before the passage, or after it
+            texts = [x + unit * k + passage if not turned else passage + " " + unit * k + x for x, k in ((left, m), (right, n))]
+            c = [spans.Chunk([x]) for x in texts]
+            s = [spans.with_neighbours(spans.parse(x)) for x in c]
+            both = np.intersect1d(s[0]["name"], s[1]["name"])
+            for i in (0, 1):
+                kept = set(spans.candidate_starts(c[i], s[i], np.isin(s[i]["name"], both), least).tolist())
+                other = texts[1 - i]
+                missed += [(unit, m, n, p) for p in range(len(texts[i]) - least + 1) if texts[i][p : p + least] in other and p not in kept]
+    assert missed == []
+
+
 def test_length_bounds_are_optimal():
     rng = np.random.default_rng(1)
     for _ in range(40):
