@@ -90,7 +90,10 @@ def annotate(postings: DataFrame, v: Vocabulary, cutoff_year: int = 2025, as_nul
 
 
 def with_models(annotated: DataFrame, margins: DataFrame, v: Vocabulary, key: str, margin: float = 2.0) -> DataFrame:
-    """Rows that only C14 decided, decided anew by a model's margin (key, margin): layer C7. Rows without one stay."""
+    """Rows that only C14 decided, decided anew by a model's margin (key, margin). Rows without one stay.
+
+    A part of layer C7 only, which stands before C8 and asks for more than the margin; marked 'C7' nevertheless.
+    """
     open_rows = annotated.filter("decided_by = 'C14'").join(margins.select(key, F.col("margin").alias("_m")), key, "left")
     guarded = F.coalesce(F.col("org_key").startswith(v.guarded_prefix), F.lit(False))
     to = F.when(F.col("_m") > margin, "relevant").when((F.col("_m") < -margin) & ~guarded, "excluded")
