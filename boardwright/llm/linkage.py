@@ -4,8 +4,8 @@ The index holds the nodes (word set and form) with their pigeonhole blocks, the
 order that was fixed when it was made. A probe marks the batch's keys in a bitmap, reads only index rows that
 it holds, joins those on blocks and checks the words. Links are scored by the Fellegi-Sunter model, whose weights
 EM learns from the counts of comparison patterns; each pattern that a row of an earlier title makes is
-scored, by the least such row. Each known row is linked to its best match, and a union-find
-mapping from row to representative is extended for the rows touched, by pointer jumping.
+scored, by the least such row. Each known row is linked to its best match; its representative is the end of its chain
+of matches within the call, by pointer jumping. No mapping to representatives is kept between calls, and no clusters merge.
 """
 
 from __future__ import annotations
