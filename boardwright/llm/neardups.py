@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boardwright.functions.text import title_form
 from boardwright.llm import bitmaps
 from boardwright.llm.blocking import MEETS_LONG, SHORT, alike, blocks, close, slot_counts, titled
+from boardwright.llm.copies import canonical
 from boardwright.operators.components import components
 from boardwright.session import materialize
 
@@ -71,3 +72,17 @@ def near_classes(jobs: DataFrame, key: str = "job_id") -> DataFrame:
     nodes = members.join(degree, "nid", "left").join(labels.toDF("rep", "label"), "rep", "left")
     nodes = nodes.select("nid", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return titles.select(F.col("key").alias(key), "nid").join(nodes, "nid").select(key, "class_id", "links")
+
+
+def all_classes(jobs: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, class_id, links): near_classes, and the rows of titles that it leaves out, with 0 links.
+
+    Of those, exact copies (title form and link form) have the least id of them as class_id, the rest their own.
+    """
+    near = materialize(near_classes(jobs, key), "near-classes")
+    rest = jobs.select(key, "title", "link").join(near.select(key), key, "left_anti")  # titles aren't cut into words once more
+    forms = canonical(rest, key, F.col("title"), F.col("link"))
+    copied = forms.groupBy("h1", "h2").agg(F.min("key").alias("class_id"))
+    named = forms.join(copied, ["h1", "h2"]).select(F.col("key").alias(key), "class_id")
+    short = rest.select(key).join(named, key, "left").select(key, F.coalesce("class_id", key).alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return near.unionByName(short)

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    return neardups.near_classes(read_table(spark, d, "jobs"))
+    return neardups.all_classes(read_table(spark, d, "jobs"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

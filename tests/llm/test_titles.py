@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from boardwright.llm import blocking, copies, linkage, neardups, residue, survivors
+from boardwright.llm import blocking, copies, linkage, neardups, queries, residue, survivors
 from boardwright.session import scratch_path
 
 JOBS = "job_id long, title string, link string, org_key string, source string, scraped_at timestamp, apply_link string, pdf_link string, date string, nid long, h1 string"
@@ -96,6 +96,19 @@ def test_classes(spark):
     assert {i: c for i, (c, _) in got.items()} == {i: top(i) for i in titled}
 
 
+def test_classes_of_all_rows(spark):
+    """p1_classes has a row for each row of jobs; short titles are classed by exact copies, null ones alone."""
+    rows = made(4, 90) + [(200 + i, t, link, *[None] * 9) for i, (t, link) in enumerate([("one two", "https://b.x"), (None, "https://b.x"), ("One, two!", "HTTPS://b.x/"), ("one two", None), ("", "https://b.x"), ("--", "https://b.x")])]
+    df = spark.createDataFrame([r[:11] for r in rows], JOBS)
+    path = scratch_path(spark, "tables")
+    df.write.parquet(f"{path}/jobs.parquet")
+    got = queries.p1_classes(spark, path).collect()
+    assert sorted(r.job_id for r in got) == sorted(r[0] for r in rows)
+    by, near = {r.job_id: (r.class_id, r.links) for r in got}, {r.job_id: (r.class_id, r.links) for r in neardups.near_classes(df).collect()}
+    assert near and near.items() <= by.items()
+    assert [by[i] for i in range(200, 206)] == [(200, 0), (201, 0), (200, 0), (203, 0), (204, 0), (205, 0)]
+
+
 def test_copies(spark):
     rows = made(5, 400)
     first, expected = {}, set()
