@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from boardwright.llm.copies import MOST_BITS, SEGMENT_BITS
+from boardwright.llm.copies import SEGMENT_BITS, filter_bits, ranges
 
+#: Bits of a bitmap for each key.
+BITS_PER_KEY = 16
 _WIDTH = SEGMENT_BITS // 8
 
 
@@ -19,19 +23,14 @@ def slots(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
 
 
-def bitmap_bits(keys: int) -> int:
-    """16 bits a key, at most MOST_BITS: beyond that more rows pass, none is lost."""
-    return int(min(MOST_BITS, max(SEGMENT_BITS, 1 << (max(1, keys * 16) - 1).bit_length())))
-
-
 def build(keys: DataFrame, column: str, bits: int) -> bytes:
     """The bitmap of column's values."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = np.zeros(bits, bool)
+        packed = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            f[slots(b.column(0).to_numpy(), bits)] = True
-        packed = np.packbits(f, bitorder="little")
+            at = np.unique(slots(b.column(0).to_numpy(), bits))
+            np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
         for i in range(bits // SEGMENT_BITS):
             part = packed[i * _WIDTH : (i + 1) * _WIDTH]
             if part.any():
@@ -63,8 +62,7 @@ def holds(packed: bytes, bits: int) -> Callable[[np.ndarray], np.ndarray]:
     return test
 
 
-def keep(df: DataFrame, column: str, packed: bytes, bits: int) -> DataFrame:
-    """Rows of df whose column the bitmap holds (and a few it doesn't)."""
+def _kept(df: DataFrame, column: str, packed: bytes, bits: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(packed)
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,3 +71,18 @@ def keep(df: DataFrame, column: str, packed: bytes, bits: int) -> DataFrame:
             yield b.filter(pa.array(test(b.column(column).to_numpy())))
 
     return df.mapInArrow(thin, df.schema)
+
+
+def keep(df: DataFrame, column: str, keys: DataFrame, by: str) -> DataFrame:
+    """Rows of df whose column is among ``by`` of keys (and a few others, at most one in some 16).
+
+    Keys beyond what one bitmap of RANGE_BITS holds are cut into ranges with a bitmap each, in one plan: a row is
+    tested against that of its range, so the share of others is the same at any number of keys.
+    """
+    n = keys.count()
+    number = ranges(n, BITS_PER_KEY)
+    bits, out = filter_bits(-(-n // number), BITS_PER_KEY), []
+    for r in range(number):
+        own = lambda d, c: d if number == 1 else d.filter(F.pmod(F.xxhash64(F.lit(number), c), F.lit(number)) == r)  # noqa: B023, E731
+        out.append(_kept(own(df, column), column, build(own(keys, by), by, bits), bits))
+    return reduce(DataFrame.unionByName, out)

@@ -13,7 +13,8 @@ a table of fixed size at any scale; any common order is correct, a good one is s
 
 Growing blocks would be too many for long titles. Pairs whose greater size exceeds SHORT meet in blocks of fixed
 length instead: pairs of the rarest words up to MIDDLE, single rarest words beyond. Shorter titles cut such blocks
-only to meet a longer one.
+only to meet a longer one. All three kinds of block lose no pair; a hot block, of a word that many long titles hold, is
+cut up in the join (see split_join).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwright.functions.text import title_form, title_words
+from boardwright.session import materialize
 
 LEAST_WORDS = 6
 #: Greatest sizes of pairs that growing blocks and two-word blocks are for, and the least size that can meet a longer title.
@@ -35,13 +37,15 @@ _MANY = -(2**63)
 ORDER_SLOTS = 1 << 16
 #: A word is rare if it stands in fewer than one title in 2 ** RARE_BITS.
 RARE_BITS = 10
-BLOCK_SCHEMA = "key long, nid long, fp long, size int, skips int"
+BLOCK_SCHEMA = "key long, nid long, fp int, size int, skips int"
+#: Bits of the folds of fingerprints; fewer than an int's, so that none is negative.
+FOLD_BITS = 31
 
 
 def titled(rows: DataFrame, key: str, title: str = "title") -> DataFrame:
-    """(key, title, ws, nid) of titles of six words and more; ws: word hashes in order, nid: hash of word set and form."""
-    words = rows.select(F.col(key).alias("key"), F.col(title).alias("title"), word_hashes(F.col(title)).alias("ws"))
-    return words.filter(F.size("ws") >= LEAST_WORDS).select("key", "title", "ws", node_id().alias("nid"))
+    """(key, nid, fh, ws) of titles of six words and more; ws: word hashes in order, fh: hash of the form, nid: of word set and form."""
+    words = rows.select(F.col(key).alias("key"), F.xxhash64(title_form(F.col(title))).alias("fh"), word_hashes(F.col(title)).alias("ws"))
+    return words.filter(F.size("ws") >= LEAST_WORDS).select("key", node_id().alias("nid"), "fh", "ws")
 
 
 def word_hashes(title: Column) -> Column:
@@ -50,7 +54,7 @@ def word_hashes(title: Column) -> Column:
 
 
 def node_id() -> Column:
-    return F.xxhash64("ws", title_form(F.col("title")))
+    return F.xxhash64("ws", "fh")
 
 
 def slot_counts(titles: DataFrame) -> tuple[np.ndarray, int]:
@@ -177,37 +181,60 @@ def cut_blocks(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, total: i
 
 
 def fingerprints(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit folds of the fingerprints: a pair's folds differ in no more bits than its fingerprints."""
-    bit = np.left_shift(np.uint64(1), (flat.view(np.uint64) >> np.uint64(40)) & np.uint64(63))
+    """Folds of the fingerprints to FOLD_BITS bits: a pair's folds differ in no more bits than its fingerprints."""
+    bit = np.left_shift(np.int32(1), ((flat.view(np.uint64) >> np.uint64(40)) % np.uint64(FOLD_BITS)).astype(np.int32))
     return np.bitwise_xor.reduceat(bit, np.cumsum(sizes) - sizes)
 
 
-def block_maker(counts: np.ndarray, cut: Callable[[np.ndarray, np.ndarray], Blocks]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def block_maker(cut: Callable[[np.ndarray, np.ndarray], Blocks], extra: tuple[str, ...] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            nid = b.column("nid").to_numpy()
-            nid, keep = np.unique(nid, return_index=True)  # equal nodes cut equal blocks
-            ws = b.column("ws").take(pa.array(keep))
+            ws = b.column("ws")
             flat, sizes = ws.flatten().to_numpy(), ws.value_lengths().to_numpy().astype(np.int64)
             row, key, skips = cut(flat, sizes)
             fp = fingerprints(flat, sizes)
-            cols = [key.view(np.int64), nid[row], fp.view(np.int64)[row], sizes[row].astype(np.int32), skips.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "nid", "fp", "size", "skips"])
+            own = [b.column(c).to_numpy()[row] for c in ("nid", *extra)]
+            cols = [key.view(np.int64), own[0], fp[row], sizes[row].astype(np.int32), skips.astype(np.int32), *own[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "nid", "fp", "size", "skips", *extra])
 
     return make
 
 
-def blocks(titles: DataFrame, counts: np.ndarray, total: int, least_long: int | None = None, short: bool = True) -> DataFrame:
-    """(key, nid, fp, size, skips) of titles (nid, ws): short blocks, long ones from least_long words on, or both."""
+def blocks(nodes: DataFrame, counts: np.ndarray, total: int, least_long: int | None = None, short: bool = True, home: bool = False) -> DataFrame:
+    """(key, nid, fp, size, skips) of nodes (nid, ws): short blocks, long ones from least_long words on, or both; with the node's home if wanted."""
 
     def cut(flat: np.ndarray, sizes: np.ndarray) -> Blocks:
         if least_long is None:
             return short_blocks(flat, sizes, counts, total)
         return all_blocks(flat, sizes, counts, total, least_long) if short else long_blocks(flat, sizes, counts)
 
-    return titles.select("nid", "ws").mapInArrow(block_maker(counts, cut), BLOCK_SCHEMA)
+    extra = ("home",) if home else ()
+    return nodes.select("nid", "ws", *extra).mapInArrow(block_maker(cut, extra), BLOCK_SCHEMA + (", home long" if home else ""))
+
+
+#: Rows of a block that meet in one task; a block of more is cut into groups of about so many, each two of which meet by themselves.
+GROUP_ROWS = 2000
+
+
+def split_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """(a, b) of rows a of left and b of right, of one block each, for which the condition on columns a.* and b.* holds.
+
+    Blocks with more than GROUP_ROWS rows on a side are cut: each row is in one group of its side and meets each group
+    of the other, so no task holds more than two groups of a block, whatever its size.
+    """
+    sized = lambda d, n: d.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_ROWS).select("key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias(n))
+    hot = sized(left, "na").join(sized(right, "nb"), "key", "full").select("key", F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb"))
+    hot = materialize(hot, "hot-blocks")
+    pairs = lambda a, b, on: a.alias("a").join(b.alias("b"), on & condition).select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b"))
+    same = F.col("a.key") == F.col("b.key")
+    cold = pairs(left.join(hot, "key", "left_anti"), right.join(hot, "key", "left_anti"), same)
+    group = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(hot, "key").select(*left.columns, group("na").alias("ga"), every("nb").alias("gb"))
+    b = right.join(hot, "key").select(*right.columns, every("na").alias("ga"), group("nb").alias("gb"))
+    return cold.unionByName(pairs(a, b, same & (F.col("a.ga") == F.col("b.ga")) & (F.col("a.gb") == F.col("b.gb"))))
 
 
 def close(a: str, b: str) -> Column:
@@ -221,6 +248,5 @@ def close(a: str, b: str) -> Column:
 
 
 def alike(a: Column, b: Column) -> Column:
-    """The exact test on two titles: 17 times the shared words reach 7 times the words of both."""
-    wa, wb = title_words(a), title_words(b)
-    return (F.size(wa) >= LEAST_WORDS) & (F.size(wb) >= LEAST_WORDS) & (17 * F.size(F.array_intersect(wa, wb)) >= 7 * (F.size(wa) + F.size(wb)))
+    """The exact test on the words (their 64-bit hashes) of two titles: 17 times the shared ones reach 7 times those of both."""
+    return (F.size(a) >= LEAST_WORDS) & (F.size(b) >= LEAST_WORDS) & (17 * F.size(F.array_intersect(a, b)) >= 7 * (F.size(a) + F.size(b)))

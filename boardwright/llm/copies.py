@@ -4,12 +4,17 @@ Each task builds two filters over the canonical hashes of its rows, of hashes se
 Filters are cut into segments, merged segment by segment (a hash in two tasks has all its bits in both
 filters, so the intersection goes to the repeats), and the merged filter of repeats is probed by every row.
 There are no false negatives; false positives only cost a shuffled row.
+
+A filter has a fixed most size. Rows that need more bits are cut into ranges of hashes, whose filters are built, sent
+out and dropped one after the other, so the bits for each row, and with them the share of singletons that are
+shuffled for nothing, are the same at any number of rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwright.functions.text import link_form, title_form
+from boardwright.session import materialize
 
-#: Bits of a filter for each row, and the most bits a filter may have (64 MB): the bound of what is broadcast.
-BITS_PER_ROW, MOST_BITS = 12, 1 << 29
+#: Bits of a filter for each row, and the bits of the filter of one range (64 MB): the bound of what is broadcast at a time.
+BITS_PER_ROW, RANGE_BITS = 12, 1 << 29
 SEGMENT_BITS = 1 << 18
 PROBES = 2
 
@@ -31,8 +37,13 @@ def canonical(rows: DataFrame, key: str, title: Column, link: Column) -> DataFra
     return forms.select("key", F.xxhash64("f.t", "f.l").alias("h1"), F.xxhash64("f.l", F.lit("|"), "f.t").alias("h2"))
 
 
-def filter_bits(rows: int) -> int:
-    return int(min(MOST_BITS, max(SEGMENT_BITS, 1 << (max(1, rows * BITS_PER_ROW) - 1).bit_length())))
+def ranges(rows: int, bits_per_row: int = BITS_PER_ROW) -> int:
+    """Number of ranges of hashes whose filters have RANGE_BITS at most."""
+    return max(1, -(-rows * bits_per_row // RANGE_BITS))
+
+
+def filter_bits(rows: int, bits_per_row: int = BITS_PER_ROW) -> int:
+    return max(SEGMENT_BITS, 1 << (max(1, rows * bits_per_row) - 1).bit_length())
 
 
 def positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -83,7 +94,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeat_filter(hashes: DataFrame, bits: int) -> bytes:
-    """The merged filter of repeatedly seen hashes, as bytes (at most MOST_BITS / 8)."""
+    """The merged filter of repeatedly seen hashes of one range, as bytes."""
     parts = hashes.select("h1").mapInArrow(_build(bits), "segment int, once binary, often binary")
     merged = parts.repartition("segment").mapInArrow(_merge, "segment int, often binary")
     out, width = bytearray(bits // 8), SEGMENT_BITS // 8
@@ -92,23 +103,32 @@ def repeat_filter(hashes: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def probe(hashes: DataFrame, packed: bytes, bits: int) -> DataFrame:
-    """hashes with a column maybe: whether the filter holds h1."""
-    shared = hashes.sparkSession.sparkContext.broadcast(packed)
-
+def _looker(shared, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             hit = np.logical_and.reduce([_get(f, p).astype(bool) for p in positions(b.column("h1").to_numpy(), bits)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, "maybe"])
 
-    return hashes.mapInArrow(look, "key long, h1 long, h2 long, maybe boolean")
+    return look
+
 
+def probed(rows: DataFrame, key: str, only: bool = False) -> DataFrame:
+    """(key, h1, h2, maybe) of rows with both forms; maybe: whether the filter of repeats holds them. only: such rows alone.
 
-def _probed(rows: DataFrame, key: str) -> DataFrame:
-    hashes = canonical(rows, key, F.col("title"), F.col("link")).persist()
-    bits = filter_bits(hashes.count())
-    return probe(hashes, repeat_filter(hashes, bits), bits)
+    The hashes are written by range of h2, whose bits the filters' places don't use; ranges are worked on one by one.
+    """
+    number = ranges(rows.count())
+    hashes = canonical(rows, key, F.col("title"), F.col("link")).withColumn("range", F.pmod("h2", F.lit(number)).cast("int"))
+    hashes, done = materialize(hashes, "hashes", "range"), []
+    for r in range(number):
+        own = hashes.filter(F.col("range") == r).select("key", "h1", "h2")
+        bits = filter_bits(own.count())
+        shared = rows.sparkSession.sparkContext.broadcast(repeat_filter(own, bits))
+        seen = own.mapInArrow(_looker(shared, bits), "key long, h1 long, h2 long, maybe boolean")
+        done.append(materialize(seen.filter("maybe") if only else seen, "probed"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, done)
 
 
 def _groups(maybe: DataFrame) -> DataFrame:
@@ -121,13 +141,13 @@ def copies_found(jobs: DataFrame, key: str = "job_id") -> DataFrame:
 
     Null, empty or letterless titles and null or blank links take no part; an empty table gives no rows.
     """
-    maybe = _probed(jobs, key).filter("maybe").select("key", "h1", "h2")
+    maybe = probed(jobs, key, only=True).select("key", "h1", "h2")
     groups = _groups(maybe).filter("copies > 1").select("h1", "h2", "first_id")
     return maybe.join(groups, ["h1", "h2"]).filter("key > first_id").select("first_id", F.col("key").alias(key))
 
 
 def collapsed(jobs: DataFrame, key: str = "job_id") -> DataFrame:
     """(first_id, copies): one row for each distinct posting, singletons without any shuffle."""
-    rows = _probed(jobs, key)
+    rows = probed(jobs, key)
     single = rows.filter("not maybe").select(F.col("key").alias("first_id"), F.lit(1).cast("long").alias("copies"))
     return single.unionByName(_groups(rows.filter("maybe")).select("first_id", "copies"))

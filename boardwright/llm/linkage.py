@@ -1,15 +1,24 @@
 """New batches against all history: a persisted index of blocking keys, probed and appended to, never rebuilt.
 
-The index holds the nodes (word set and form) with their pigeonhole blocks, the hashes of exact forms, and the word
-order that was fixed when it was made. A probe marks the batch's keys in a bitmap, reads only index rows that
-it holds, joins those on blocks and checks the words. Links are scored by the Fellegi-Sunter model, whose weights
-EM learns from the counts of comparison patterns; each pattern that a row of an earlier title makes is
-scored, by the least such row. Each known row is linked to its best match; its representative is the end of its chain
-of matches within the call, by pointer jumping. No mapping to representatives is kept between calls, and no clusters merge.
+The index is a folder of tables cut into parts by a hash of their key: pigeonhole blocks, one row each; the words of
+nodes (word set and form), each where the task that met it wrote it; the rows of each node that a link is compared
+by; exact forms; the word order that was fixed when the index was made; and the mapping of clusters. A probe reads only the parts that the batch's keys fall
+in, drops rows that a bitmap of these keys doesn't hold, joins the rest on blocks and checks the words. A part has a
+fixed size when the index is made, so a batch of k keys reads at most k parts, however long the history.
+
+Links are scored by the Fellegi-Sunter model, whose weights EM learns from the counts of comparison patterns; each
+pattern that a row of an earlier title makes is scored, by the least such row, and each known row is linked to its
+best match.
+
+Clusters (rows of alike titles or equal forms, and what they connect) are kept as a union-find forest in two tables:
+the representative that a vertex got when it came, and merges of representatives. A batch reads the vertices that it
+touches, follows the merges to their roots, unites roots and new vertices, and appends what is new: new vertices,
+and one merge for each root that lost its place. Clusters that it doesn't touch are neither read nor written.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import log2
 
@@ -18,57 +27,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardwright.functions.text import link_form, title_form, title_words
+from boardwright.functions.text import link_form, title_form
 from boardwright.llm import bitmaps
-from boardwright.llm.blocking import BLOCK_SCHEMA, LEAST_WORDS, MEETS_LONG, ORDER_SLOTS, SHORT, alike, all_blocks, blocks, close, fingerprints, node_id, slot_counts, titled, word_hashes
+from boardwright.llm.blocking import LEAST_WORDS, MEETS_LONG, ORDER_SLOTS, SHORT, blocks, close, node_id, slot_counts, split_join, titled, word_hashes
 from boardwright.llm.copies import canonical
+from boardwright.llm.neardups import alike_nodes, checked, nodes_of
+from boardwright.operators.components import components
 from boardwright.session import materialize
 
-_NODES = "nid long, title string, ref long, link long, day long, fp long, size int, keys array<long>, skips array<int>"
+#: Rows of history that one part of each table is for, and the files that a part may be spread over.
+PART_ROWS, PART_FILES = 1 << 17, 4
+#: The batch number of rows that the index was made of; those of batches are not negative.
+HISTORY = -1
+_REF = "ref struct<batch: int, id: long>"
+_TABLES = {
+    "blocks": "key long, nid long, fp int, size int, skips int, home long", "forms": "h1 long, h2 long", "rows": f"nid long, {_REF}, link long, day long",
+    "days": f"h1 long, h2 long, {_REF}, day long", "members": f"vertex long, {_REF}", "merges": f"{_REF}, into struct<batch: int, id: long>",
+}
+_WORDS = "nid long, fh long, ws array<long>, home long"
 
 
-def _node_maker(counts: np.ndarray, total: int):
-    """One row for each node, link and day of a batch, that of the least ref; the blocks stand with the node's first."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            nid, link, day, ref = (b.column(c).to_numpy() for c in ("nid", "link", "day", "ref"))
-            order = np.lexsort((ref, day, link, nid))
-            changes = lambda x: np.append([True], x[order][1:] != x[order][:-1])
-            node = changes(nid)
-            keep = node | changes(link) | changes(day)
-            b, lead = b.take(pa.array(order[keep])), np.nonzero(node[keep])[0]
-            ws = b.column("ws")
-            flat, sizes = ws.flatten().to_numpy(), ws.value_lengths().to_numpy().astype(np.int64)
-            own = ws.take(pa.array(lead))
-            row, key, skips = all_blocks(own.flatten().to_numpy(), sizes[lead], counts, total, SHORT + 1)
-            row = lead[row]
-            order = np.argsort(row, kind="stable")
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (key.view(np.int64)[order], skips[order].astype(np.int32))]
-            cols = [b.column("nid"), b.column("title"), b.column("ref"), b.column("link"), b.column("day"), pa.array(fingerprints(flat, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), *lists]
-            yield pa.RecordBatch.from_arrays(cols, ["nid", "title", "ref", "link", "day", "fp", "size", "keys", "skips"])
-
-    return make
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch's nodes once."""
+    for b in batches:
+        _, first = np.unique(b.column("nid").to_numpy(), return_index=True)
+        yield b.take(pa.array(first))
 
 
 def _day() -> Column:
     return F.xxhash64(F.coalesce("date", F.lit("")))
 
 
-def _described(rows: DataFrame, key: str) -> DataFrame:
-    """(nid, ws, title, ref, link, day): titled rows with what a link is scored by."""
-    base = rows.select(F.col(key).alias("ref"), "title", F.xxhash64(link_form(F.col("link"))).alias("link"), _day().alias("day"))
-    words = base.select("*", word_hashes(F.col("title")).alias("ws")).filter(F.size("ws") >= LEAST_WORDS)
-    return words.select(node_id().alias("nid"), "ws", "title", "ref", "link", "day")
-
+def described(rows: DataFrame) -> DataFrame:
+    """(ref, nid, fh, ws, h1, h2, link, day) of rows (ref, title, link, date).
 
-def _forms(rows: DataFrame, key: str) -> DataFrame:
-    """(key, day, h1, h2): the hashes of exact forms, with the day that a copy is scored by."""
-    both = rows.select(F.struct(F.col(key).alias("key"), _day().alias("day")).alias("_k"), "title", "link")
-    return canonical(both, "_k", F.col("title"), F.col("link")).select("key.key", "key.day", "h1", "h2")
+    nid and ws are null for titles of fewer than six words, h1 and h2 for rows without title form or link form; rows
+    with neither, which can match nothing, are left out.
+    """
+    form = F.explode(F.array(F.struct(title_form(F.col("title")).alias("t"), link_form(F.col("link")).alias("l")))).alias("f")  # generators: worked out once
+    base = rows.select("ref", F.coalesce("title", F.lit("")).alias("title"), form, _day().alias("day")).select("ref", "f", "day", word_hashes(F.col("title")).alias("ws"))
+    whole, worded = (F.col("f.t") != "") & (F.col("f.l") != ""), F.size("ws") >= LEAST_WORDS
+    out = base.select(
+        "ref", F.xxhash64("f.t").alias("fh"), F.when(worded, F.col("ws")).alias("ws"), F.when(whole, F.xxhash64("f.t", "f.l")).alias("h1"),
+        F.when(whole, F.xxhash64("f.l", F.lit("|"), "f.t")).alias("h2"), F.xxhash64("f.l").alias("link"), "day",
+    )
+    return out.select("ref", F.when(F.col("ws").isNotNull(), node_id()).alias("nid"), "fh", "ws", "h1", "h2", "link", "day").filter("nid is not null or h1 is not null")
 
 
 class LinkageIndex:
@@ -76,155 +79,234 @@ class LinkageIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        order = spark.read.parquet(f"{path}/order").collect()  # ORDER_SLOTS rows
-        self.counts = np.zeros(ORDER_SLOTS, np.int64)
+        order = spark.read.parquet(f"{path}/order").collect()  # ORDER_SLOTS rows, and one for each of two settings
+        self.counts, settings = np.zeros(ORDER_SLOTS, np.int64), {}
         for r in order:
-            self.counts[r.slot] = r.n
+            if r.slot < 0:
+                settings[r.slot] = r.n
+            else:
+                self.counts[r.slot] = r.n
         self.total = max(int(self.counts.sum()) // 10, 2)
+        self.parts, self.linked = settings[-1], bool(settings[-2])
 
     @classmethod
-    def create(cls, history: DataFrame, path: str, key: str = "job_id") -> LinkageIndex:
+    def create(cls, history: DataFrame, path: str, key: str = "job_id", links: bool = False, part_rows: int = PART_ROWS) -> LinkageIndex:
+        """An index of history (key, title, link, date). links: with the rows and the mapping that ``links`` and ``clusters`` of a probe need."""
         spark = history.sparkSession
-        counts, _ = slot_counts(titled(history, key))
-        spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts.tolist())], "slot int, n long").coalesce(1).write.parquet(f"{path}/order")
+        rows = _referred(history, key, F.lit(HISTORY))
+        words = _write_words(rows, path)
+        counts, _ = slot_counts(words)
+        parts = max(1, -(-history.count() // part_rows))
+        settings = [(i, int(n)) for i, n in enumerate(counts.tolist())] + [(-1, parts), (-2, int(links))]
+        spark.createDataFrame(settings, "slot int, n long").coalesce(1).write.parquet(f"{path}/order")
         index = cls(spark, path)
-        index.append(history, key)
+        index._add(rows, words)
+        if links:
+            known = materialize(described(rows), "described")
+            index._add_rows(known)
+            index._write(_clusters_of(known), "members", "vertex")
+            index._write(spark.createDataFrame([], _TABLES["merges"]), "merges", "ref")
         return index
 
-    def append(self, rows: DataFrame, key: str) -> None:
-        _described(rows, key).mapInArrow(_node_maker(self.counts, self.total), _NODES).write.mode("append").parquet(f"{self.path}/nodes")
-        _forms(rows, key).write.mode("append").parquet(f"{self.path}/forms")
+    def append(self, rows: DataFrame, key: str, batch: str) -> None:
+        """Accept a batch; its clusters, where the index keeps them, are those of a probe of it."""
+        rows = _referred(rows, key, F.coalesce(batch, F.lit(0)))
+        if self.linked:
+            known = materialize(described(rows), "described")
+            Probe(self, known, key, batch, described_already=True).clusters()
+            self._add_rows(known)
+        self._add(rows, _write_words(rows, self.path))
+
+    def _add(self, rows: DataFrame, words: DataFrame) -> None:
+        self._write(blocks(words, self.counts, self.total, SHORT + 1, home=True), "blocks", "key")
+        forms = canonical(rows, "ref", F.col("title"), F.col("link")).select("h1", "h2").distinct()
+        self._write(forms, "forms", "h1")
+
+    def _add_rows(self, known: DataFrame) -> None:
+        least = lambda d, *by: d.groupBy(*by).agg(F.min("ref").alias("ref"))
+        self._write(least(known.filter("nid is not null"), "nid", "link", "day"), "rows", "nid")
+        self._write(least(known.filter("h1 is not null"), "h1", "h2", "day"), "days", "h1")
+
+    def _part(self, by: str) -> Column:
+        return F.pmod(F.xxhash64(by), F.lit(self.parts)).cast("int")
+
+    def _write(self, rows: DataFrame, table: str, by: str) -> None:
+        """Append; a part goes to PART_FILES tasks at most, so that a hot key of it isn't one task's."""
+        placed = rows.withColumn("part", self._part(by)).repartition("part", F.pmod(F.xxhash64(*rows.columns), F.lit(PART_FILES)))
+        placed.sortWithinPartitions("part", by).write.mode("append").partitionBy("part").parquet(f"{self.path}/{table}")
+
+    def _parts_of(self, table: str, keys: DataFrame, by: str) -> DataFrame:
+        parts = [r.part for r in keys.select(self._part(by).alias("part")).distinct().collect()]  # at most the index's parts
+        there = self.spark.read.schema(f"{_TABLES[table]}, part int").parquet(f"{self.path}/{table}")
+        return there.filter(F.col("part").isin(parts)).drop("part")
+
+    def read(self, table: str, column: str, keys: DataFrame, by: str) -> DataFrame:
+        """Rows of a table whose column is among ``by`` of keys (and a few others), from the parts of these keys alone."""
+        return bitmaps.keep(self._parts_of(table, keys, by), column, keys, by)
 
-    @property
-    def nodes(self) -> DataFrame:
-        return self.spark.read.schema(_NODES).parquet(f"{self.path}/nodes")
+    def merges(self, refs: DataFrame) -> DataFrame:
+        """(ref, into) of the representatives in refs that have been merged into another."""
+        return self._parts_of("merges", refs, "ref").join(refs, "ref", "left_semi")
 
-    @property
-    def forms(self) -> DataFrame:
-        return self.spark.read.schema("key long, day long, h1 long, h2 long").parquet(f"{self.path}/forms")
+    def words(self, found: DataFrame) -> DataFrame:
+        """(nid, fh, ws) of found (nid, home), from the homes named there."""
+        homes = [r.home for r in found.select("home").distinct().collect()]  # at most one for each task that wrote words
+        there = self.spark.read.schema(_WORDS).parquet(f"{self.path}/words").filter(F.col("home").isin(homes))
+        return nodes_of(bitmaps.keep(there.drop("home"), "nid", found, "nid"))
 
-    def blocks_held(self, packed: bytes, bits: int) -> DataFrame:
-        """(key, nid, fp, size, skips) of the index's blocks that the bitmap holds."""
-        shared = self.spark.sparkContext.broadcast(packed)
+    def long_blocks(self, keys: DataFrame) -> DataFrame:
+        """The long blocks, of those in keys, of nodes that the index holds short blocks of only: asked for by titles longer than SHORT."""
+        words = self.spark.read.schema(_WORDS).parquet(f"{self.path}/words").filter(F.size("ws").between(MEETS_LONG, SHORT))
+        return bitmaps.keep(blocks(words, self.counts, self.total, MEETS_LONG, short=False, home=True), "key", keys, "key")
 
-        def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            test = bitmaps.holds(shared.value, bits)
-            for b in batches:
-                lists = b.column("keys")
-                key = lists.flatten().to_numpy()
-                hit = np.nonzero(test(key))[0]
-                row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())[hit]
-                take = lambda c: b.column(c).to_numpy()[row]
-                cols = [key[hit], take("nid"), take("fp"), take("size"), b.column("skips").flatten().to_numpy()[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "nid", "fp", "size", "skips"])
 
-        return self.nodes.select("nid", "fp", "size", "keys", "skips").mapInArrow(thin, BLOCK_SCHEMA)
+def _write_words(rows: DataFrame, path: str) -> DataFrame:
+    """Append the nodes of rows where they lie, without a shuffle: each task's are one home. Returns those of these rows."""
+    base = uuid.uuid4().int >> 88 << 22  # homes of one call lie together; two calls with the same numbers do no harm
+    made = titled(rows, "ref").select("nid", "fh", "ws").mapInArrow(_once, "nid long, fh long, ws array<long>")
+    made.withColumn("home", F.spark_partition_id() + F.lit(base)).write.mode("append").partitionBy("home").parquet(f"{path}/words")
+    return rows.sparkSession.read.schema(_WORDS).parquet(f"{path}/words").filter(F.col("home").between(base, base + (1 << 22) - 1))
 
-    def blocks_cut_anew(self, packed: bytes, bits: int) -> DataFrame:
-        """The long blocks, of those the bitmap holds, of nodes that the index holds short blocks of only."""
-        words = F.sort_array(F.transform(title_words(F.col("title")), lambda w: F.xxhash64(w)))
-        nodes = self.nodes.filter(F.col("size").between(MEETS_LONG, SHORT)).select("nid", words.alias("ws"))
-        return bitmaps.keep(blocks(nodes, self.counts, self.total, MEETS_LONG, short=False), "key", packed, bits)
 
+def _referred(rows: DataFrame, key: str, batch: Column) -> DataFrame:
+    return rows.select(F.struct(batch.cast("int").alias("batch"), F.col(key).cast("long").alias("id")).alias("ref"), "title", "link", "date")
 
-def in_order(batch: Column, row: Column) -> Column:
-    """One number that orders rows by batch, then id (ids below 2 ** 44)."""
-    return F.coalesce(batch, F.lit(0)).cast("long") * (1 << 44) + row
+
+def _edges_of_rows(known: DataFrame) -> DataFrame:
+    """(a, b): a row's node and its form are one cluster."""
+    return known.filter("nid is not null and h1 is not null").select(F.col("nid").alias("a"), F.col("h1").alias("b")).distinct()
+
+
+def _firsts(known: DataFrame) -> DataFrame:
+    """(vertex, first): nodes and forms of rows, with their least row."""
+    vertices = known.select("ref", F.explode(F.array("nid", "h1")).alias("vertex")).filter("vertex is not null")
+    return vertices.groupBy("vertex").agg(F.min("ref").alias("first"))
+
+
+def _clusters_of(known: DataFrame) -> DataFrame:
+    """(vertex, ref) of each vertex, with the least row of its cluster."""
+    firsts = materialize(_firsts(known), "vertices")
+    titles = known.filter("ws is not null").select("nid", "fh", "ws")
+    labels = components(_edges_of_rows(known).unionByName(alike_nodes(titles)).distinct()).toDF("vertex", "label")
+    named = materialize(firsts.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex")), "labels")
+    return named.join(named.groupBy("label").agg(F.min("first").alias("ref")), "label").select("vertex", "ref")
 
 
 class Probe:
     """A batch, or several in their order, held against an index and against its own earlier rows."""
 
-    def __init__(self, index: LinkageIndex, rows: DataFrame, key: str, batch: str):
+    def __init__(self, index: LinkageIndex, rows: DataFrame, key: str, batch: str, described_already: bool = False):
         self.index, self.key = index, key
-        self.rows = rows.withColumn("_seq", in_order(F.col(batch), F.col(key)))
-        seq = self.rows.select("_seq", "title", "link", "date")
-        self.described = _described(seq, "_seq").withColumnRenamed("ref", "seq").persist()
-        first = F.min_by(F.struct("ws", "title", "link", "day"), "seq").alias("v")
-        # copies beyond number are combined in each task; one node stays
-        self.nodes = self.described.groupBy("nid").agg(F.min("seq").alias("first"), first).select("nid", "first", "v.*").persist()
-
-    def _alike(self) -> tuple[DataFrame, DataFrame]:
-        """(a, b, from_history, title, other): node a of the batch, node b of the index or of the batch, their titles; and the index's rows of such b."""
-        mine = blocks(self.nodes, self.index.counts, self.index.total, MEETS_LONG).persist()
-        bits = bitmaps.bitmap_bits(mine.count())
-        held = self.index.blocks_held(bitmaps.build(mine, "key", bits), bits)
-        longer = mine.filter(F.col("size") > SHORT)
-        if not longer.isEmpty():
-            bits = bitmaps.bitmap_bits(longer.count())
-            held = held.unionByName(self.index.blocks_cut_anew(bitmaps.build(longer, "key", bits), bits))
-        held = held.dropDuplicates(["key", "nid", "skips"])
-        a, b = mine.alias("a"), held.alias("b")
-        old = a.join(b, (F.col("a.key") == F.col("b.key")) & close("a", "b")).select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b")).distinct()
-        old = materialize(old, "old-candidates")
-        c = mine.alias("c")
-        new = a.join(c, (F.col("a.key") == F.col("c.key")) & (F.col("a.nid") != F.col("c.nid")) & close("a", "c")).select(F.col("a.nid").alias("a"), F.col("c.nid").alias("b")).distinct()
-        new = new.unionByName(self.nodes.select(F.col("nid").alias("a"), F.col("nid").alias("b")))  # later rows of a node against its first
-        bits = bitmaps.bitmap_bits(old.count())
-        there = bitmaps.keep(self.index.nodes.select("nid", "title", "ref", "link", "day"), "nid", bitmaps.build(old, "b", bits), bits).persist()
-        text = lambda nodes, side: nodes.select(F.col("nid").alias("b"), F.col("title").alias("other"), F.lit(side).alias("from_history"))
-        other = text(there.groupBy("nid").agg(F.min("title").alias("title")), True).unionByName(text(self.nodes, False))
-        title = self.nodes.select(F.col("nid").alias("a"), "title")
-        both = old.withColumn("from_history", F.lit(True)).unionByName(new.withColumn("from_history", F.lit(False))).join(other, ["b", "from_history"]).join(title, "a")
-        return both.filter((F.col("a") == F.col("b")) | alike(F.col("title"), F.col("other"))), there
+        self.known_rows = rows if described_already else materialize(described(_referred(rows, key, F.coalesce(batch, F.lit(0)))), "batch")
+        self.titled = self.known_rows.filter("nid is not null")
+        # a node's rows are combined in each task; one node stays
+        self.nodes = materialize(self.titled.groupBy("nid").agg(F.min("ref").alias("first"), F.first(F.struct("fh", "ws")).alias("v")).select("nid", "first", "v.*"), "batch-nodes")
+        self._pairs: DataFrame | None = None
+
+    def alike(self) -> DataFrame:
+        """(a, b, h, level): node a of the batch, node b alike to it or itself, of the index (h) or of the batch; how like, from 1 to 3."""
+        if self._pairs is None:
+            mine = materialize(blocks(self.nodes, self.index.counts, self.index.total, MEETS_LONG), "batch-blocks")
+            held = self.index.read("blocks", "key", mine, "key")
+            longer = mine.filter(F.col("size") > SHORT)
+            if not longer.isEmpty():
+                held = held.unionByName(self.index.long_blocks(longer))
+            held = materialize(held, "held-blocks")  # a node that came in several tasks or batches stands there more than once
+            old = materialize(split_join(mine, held, close("a", "b")).distinct(), "old-candidates")
+            there = held.select("nid", "home").join(old.select(F.col("b").alias("nid")).distinct(), "nid", "left_semi").groupBy("nid").agg(F.min("home").alias("home"))
+            words = self.index.words(materialize(there, "homes"))
+            new = split_join(mine, mine, (F.col("a.nid") != F.col("b.nid")) & close("a", "b")).distinct()
+            own = self.nodes.select("nid", "fh", "ws")
+            itself = own.select(F.col("nid").alias("a"), F.col("nid").alias("b"), F.lit(False).alias("h"), F.lit(3).alias("level"))  # later rows of a node against its first
+            shared, either = F.size(F.array_intersect("wa", "wb")), F.size(F.array_union("wa", "wb"))
+            level = F.when((shared == either) | (F.col("fa") == F.col("fb")), 3).when(shared / either >= 0.85, 2).otherwise(1)
+            found = [checked(p, own, w).select("a", "b", F.lit(h).alias("h"), level.alias("level")) for p, w, h in ((old, words, True), (new, own, False))]
+            self._pairs = materialize(found[0].unionByName(found[1]).unionByName(itself), "alike")
+        return self._pairs
 
     def _copies(self) -> DataFrame:
-        """(seq) of the rows that have the forms of an earlier row."""
-        mine = canonical(self.rows, "_seq", F.col("title"), F.col("link"))
-        first = mine.groupBy("h1", "h2").agg(F.min("key").alias("first"))
-        known = self.index.forms.select("h1", "h2").join(first, ["h1", "h2"], "left_semi").distinct().withColumn("old", F.lit(True))
-        state = first.join(known, ["h1", "h2"], "left")
-        return mine.join(state, ["h1", "h2"]).filter(F.col("old").isNotNull() | (F.col("first") < F.col("key"))).select(F.col("key").alias("_seq"))
+        """(ref) of the rows that have the forms of an earlier row."""
+        mine = self.known_rows.filter("h1 is not null").select("ref", "h1", "h2")
+        first = materialize(mine.groupBy("h1", "h2").agg(F.min("ref").alias("first")), "batch-forms")
+        old = self.index.read("forms", "h1", first, "h1").select("h1", "h2").join(first, ["h1", "h2"], "left_semi").distinct().withColumn("old", F.lit(True))
+        return mine.join(first.join(old, ["h1", "h2"], "left"), ["h1", "h2"]).filter(F.col("old").isNotNull() | (F.col("first") < F.col("ref"))).select("ref")
 
     def _copied(self) -> DataFrame:
         """(seq, match, from_history, p) of each row that has the forms of an earlier one; titles of any length."""
-        mine = _forms(self.rows, "_seq")
-        forms = mine.select("h1", "h2").distinct()
-        old = self.index.forms.join(forms, ["h1", "h2"], "left_semi")
-        sides = old.withColumn("h", F.lit(True)).unionByName(mine.withColumn("h", F.lit(False))).withColumnRenamed("key", "ref")
-        days = least_of(sides.groupBy("h1", "h2", "h", "day").agg(F.min("ref").alias("ref")).persist(), ["h1", "h2", "h"], "day")
-        same = sides.groupBy("h1", "h2", "h", "day").agg(F.min("ref").alias("r11"))
-        pairs = mine.join(days, ["h1", "h2"]).join(same, ["h1", "h2", "h", "day"], "left")
-        pairs = pairs.select(F.col("key").alias("seq"), "h", F.lit(3).alias("level"), "r11", other_than(F.col("day"), "day").alias("r10"))
+        mine = self.known_rows.filter("h1 is not null").select("ref", "day", "h1", "h2")
+        old = self.index.read("days", "h1", mine.select("h1").distinct(), "h1").select("ref", "day", "h1", "h2")
+        sides = old.withColumn("h", F.lit(True)).unionByName(mine.withColumn("h", F.lit(False)))
+        same = materialize(sides.groupBy("h1", "h2", "h", "day").agg(F.min("ref").alias("ref")), "copies")
+        days = least_of(same, ["h1", "h2", "h"], "day")
+        pairs = mine.withColumnRenamed("ref", "seq").join(days, ["h1", "h2"]).join(same.withColumnRenamed("ref", "r11"), ["h1", "h2", "h", "day"], "left")
+        pairs = pairs.select("seq", "h", F.lit(3).alias("level"), "r11", other_than(F.col("day"), "day").alias("r10"))
         return _patterns(pairs, ("r11", "r10"))
 
     def known(self) -> DataFrame:
         """(key, kind): 'copy' or 'near' of each row known already. Rows without words or forms are never known."""
-        first = self.nodes.select(F.col("nid").alias("b"), F.lit(False).alias("from_history"), F.col("first").alias("before"))
-        least = self._alike()[0].join(first, ["b", "from_history"], "left").groupBy("a").agg(F.min(F.coalesce("before", F.lit(-(2**62)))).alias("least"))
-        state = self.nodes.select("nid", "first").join(least.withColumnRenamed("a", "nid"), "nid", "left")
-        state = state.select("nid", F.least("first", F.coalesce("least", F.col("first"))).alias("earliest"))
-        near = self.described.select("nid", "seq").join(state, "nid").filter("earliest < seq").select(F.col("seq").alias("_seq"))
-        kinds = self._copies().select("_seq", F.lit("copy").alias("kind")).unionByName(near.select("_seq", F.lit("near").alias("kind")))
-        kinds = kinds.groupBy("_seq").agg(F.min("kind").alias("kind"))
-        return kinds.select((F.col("_seq") % (1 << 44)).alias(self.key), "kind")
+        first = self.nodes.select(F.col("nid").alias("b"), F.lit(False).alias("h"), F.col("first").alias("before"))
+        earlier = self.alike().join(first, ["b", "h"], "left").groupBy("a").agg(F.min("before").alias("least"), F.max("h").alias("old"))
+        state = self.nodes.select("nid").join(earlier.withColumnRenamed("a", "nid"), "nid")
+        near = self.titled.select("nid", "ref").join(state, "nid").filter("old or least < ref").select("ref")
+        kinds = self._copies().select("ref", F.lit("copy").alias("kind")).unionByName(near.select("ref", F.lit("near").alias("kind")))
+        return kinds.groupBy("ref").agg(F.min("kind").alias("kind")).select(F.col("ref.id").alias(self.key), "kind")
 
     def links(self) -> DataFrame:
-        """(key, match, from_history, score, representative): the best earlier match of each row that known() gives.
+        """(key, match, match_batch, from_history, score): the best earlier match of each row that known() gives.
 
-        match is the id of a history row or, with from_history false, of a row of the batch. A row's representative
-        is what its chain of matches ends in.
+        match is the id of a row of batch match_batch; from_history: of the rows that the index was made of.
         """
-        alike_nodes, there = self._alike()
-        words, others = title_words(F.col("title")), title_words(F.col("other"))
-        overlap = F.size(F.array_intersect(words, others)) / F.size(F.array_union(words, others))
-        level = F.when((overlap >= 1) | (title_form("title") == title_form("other")), 3).when(overlap >= 0.85, 2).otherwise(1)
-        nodes = materialize(alike_nodes.select("a", "b", F.col("from_history").alias("h"), level.alias("level")), "alike-nodes")
-        least = there.select("nid", "link", "day", "ref", F.lit(True).alias("h")).unionByName(self.described.select("nid", "link", "day", F.col("seq").alias("ref"), F.lit(False).alias("h")))
+        nodes = self.alike()
+        there = self.index.read("rows", "nid", nodes.filter("h").select("b").distinct(), "b").withColumn("h", F.lit(True))
+        least = there.unionByName(self.titled.select("nid", "ref", "link", "day").withColumn("h", F.lit(False)))
         least = least.groupBy("nid", "h", "link", "day").agg(F.min("ref").alias("ref"))
-        rows = self.described.select(F.col("nid").alias("a"), "seq", "link", "day")
+        rows = self.titled.select(F.col("nid").alias("a"), F.col("ref").alias("seq"), "link", "day")
         scored = _patterns(nearest(nodes.join(rows, "a"), materialize(least, "compared")))
         scored = materialize(scored.unionByName(self._copied()).distinct(), "scored")
         counts = {tuple(r.p): r["count"] for r in scored.groupBy("p").count().collect()}  # at most 12 patterns
         table = self.index.spark.createDataFrame([(*p, s) for p, s in pattern_scores(counts).items()] or [(0, 0, 0, 0.0)], "t int, l int, y int, score double")
         found = scored.join(F.broadcast(table), (F.col("p.title") == F.col("t")) & (F.col("p.link") == F.col("l")) & (F.col("p.day") == F.col("y")))
-        best = found.groupBy("seq").agg(F.max(F.struct("score", F.col("from_history").alias("h"), (-F.col("match")).alias("m"))).alias("b"))
-        best = best.select("seq", (-F.col("b.m")).alias("match"), F.col("b.h").alias("from_history"), F.col("b.score").alias("score"))
-        best = materialize(best, "best")
-        mapping = representatives(best)
-        same = (1 << 44)
-        out = best.join(mapping, "seq")
-        return out.select((F.col("seq") % same).alias(self.key), F.when(F.col("from_history"), F.col("match")).otherwise(F.col("match") % same).alias("match"), "from_history", F.round("score", 6).alias("score"), F.when(F.col("rooted"), F.col("root")).otherwise(F.col("root") % same).alias("representative"))
+        best = found.groupBy("seq").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b"))
+        m = F.col("b.match")
+        return best.select(F.col("seq.id").alias(self.key), m["id"].alias("match"), m["batch"].alias("match_batch"), (m["batch"] == HISTORY).alias("from_history"), F.round(-F.col("b.s"), 6).alias("score"))
+
+    def clusters(self) -> DataFrame:
+        """(key, representative, representative_batch): the least row of each row's cluster; the index's mapping is brought up to date.
+
+        Rows without forms and of fewer than six words have no row here. Calling it again changes nothing.
+        """
+        if not self.index.linked:
+            raise ValueError("the index was made without links")
+        firsts = materialize(_firsts(self.known_rows), "batch-vertices")
+        pairs = self.alike().filter("a != b or h").select("a", "b", "h")
+        touched = firsts.select("vertex").unionByName(pairs.filter("h").select(F.col("b").alias("vertex"))).distinct()
+        touched = materialize(touched, "touched")
+        held = self.index.read("members", "vertex", touched, "vertex").join(touched, "vertex", "left_semi").dropDuplicates(["vertex"])
+        held = self._roots(materialize(held, "held-members"))
+        of_root = F.xxhash64(F.lit("root"), "ref.batch", "ref.id")
+        edges = _edges_of_rows(self.known_rows).unionByName(pairs.filter("a != b").select("a", "b")).unionByName(held.select(F.col("vertex").alias("a"), of_root.alias("b")))
+        labels = materialize(components(edges.distinct()).toDF("vertex", "label"), "labels")
+        refs = firsts.toDF("vertex", "ref").unionByName(held.select(of_root.alias("vertex"), "ref").distinct())
+        named = materialize(refs.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex")), "labelled")
+        least = named.groupBy("label").agg(F.min("ref").alias("into"))
+        of_vertex = materialize(named.join(least, "label").select("vertex", "ref", "into"), "united")
+        lost = held.select("ref").distinct().withColumn("vertex", of_root).join(of_vertex.select("vertex", "into"), "vertex").filter("ref != into").select("ref", "into")
+        new = of_vertex.join(firsts.select("vertex"), "vertex", "left_semi").join(held.select("vertex"), "vertex", "left_anti")
+        lost, new = materialize(lost, "lost-roots"), materialize(new.select("vertex", F.col("into").alias("ref")), "new-members")
+        self.index._write(lost, "merges", "ref")
+        self.index._write(new, "members", "vertex")
+        mine = self.known_rows.select("ref", F.coalesce("nid", "h1").alias("vertex")).join(of_vertex.select("vertex", "into"), "vertex")
+        return mine.select(F.col("ref.id").alias(self.key), F.col("into.id").alias("representative"), F.col("into.batch").alias("representative_batch"))
+
+    def _roots(self, held: DataFrame) -> DataFrame:
+        """held (vertex, ref) with each representative followed through the merges to its root."""
+        while True:
+            keys = held.select("ref").distinct()
+            step = self.index.merges(keys)
+            moved = materialize(held.join(step, "ref").select("vertex", F.col("into").alias("ref")), "moved")
+            if moved.isEmpty():
+                return held
+            held = materialize(held.join(step.select("ref"), "ref", "left_anti").select("vertex", "ref").unionByName(moved), "roots")
 
 
 def least_of(rows: DataFrame, by: list[str], other: str) -> DataFrame:
@@ -293,16 +375,3 @@ def pattern_scores(counts: dict[tuple[int, ...], int], rounds: int = 50) -> dict
         g = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
     weight = [sum(log2(m[i][a[i]] / u[i][a[i]]) for i in range(len(values))) for a in at]
     return dict(zip(patterns, weight))
-
-
-def representatives(best: DataFrame) -> DataFrame:
-    """(seq, root, rooted): the end of each row's chain of matches; rooted where that is a history row."""
-    state = best.select("seq", F.col("match").alias("root"), F.col("from_history").alias("rooted"))
-    while True:
-        step = state.select(F.col("seq").alias("root"), F.col("root").alias("next"), F.col("rooted").alias("end"))
-        open_rows = state.filter("not rooted").join(step, "root")
-        jumped = materialize(open_rows.select("seq", F.col("next").alias("root"), F.col("end").alias("rooted")), "jumped")
-        if jumped.isEmpty():
-            return state
-        done = state.join(jumped.select("seq"), "seq", "left_anti")
-        state = materialize(done.unionByName(jumped), "representatives")

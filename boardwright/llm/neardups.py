@@ -5,54 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwright.functions.text import title_form
 from boardwright.llm import bitmaps
-from boardwright.llm.blocking import MEETS_LONG, SHORT, alike, blocks, close, slot_counts, titled
+from boardwright.llm.blocking import MEETS_LONG, SHORT, alike, blocks, close, slot_counts, split_join, titled
 from boardwright.llm.copies import canonical
 from boardwright.operators.components import components
 from boardwright.session import materialize
 
 
+def nodes_of(titles: DataFrame) -> DataFrame:
+    """(nid, fh, ws) of the distinct nodes: repeats are combined in each task, so a title of a third of all rows is one row."""
+    return titles.groupBy("nid").agg(F.first(F.struct("fh", "ws")).alias("v")).select("nid", "v.*")
+
+
 def alike_nodes(titles: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes (word set and form), a < b, whose titles are alike; equal nodes are one node.
+    """Pairs (a, b) of nodes (word set and form), a < b, whose titles are alike and of different forms.
 
-    The hot group of a title repeated over and over is one node: repeats are dropped in each batch before the
-    shuffle and in each block after it.
+    titles: (nid, fh, ws), as ``titled`` gives; equal nodes are one node, cut into blocks once.
     """
-    counts, many = slot_counts(titles)
+    nodes = materialize(nodes_of(titles), "nodes")
+    counts, many = slot_counts(nodes)
     total = max(int(counts.sum()) // 10, 2)
-    cut = blocks(titles, counts, total).repartition("key").dropDuplicates(["key", "nid", "skips"])
-    a, b = cut.alias("a"), cut.alias("b")
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.nid") < F.col("b.nid")) & close("a", "b"))
-    pairs = near.select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b"))
+    cut = blocks(nodes, counts, total)
+    pairs = split_join(cut, cut, (F.col("a.nid") < F.col("b.nid")) & close("a", "b"))
     if many:  # titles that only long blocks serve
-        pairs = pairs.unionByName(_long_pairs(titles, counts, total))
-    pairs = pairs.distinct()
-    nodes = titles.groupBy("nid").agg(F.first("title").alias("title"))
-    text = lambda side: nodes.select(F.col("nid").alias(side), F.col("title").alias(f"title_{side}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b")
-    return both.filter(alike(F.col("title_a"), F.col("title_b")) & (title_form("title_a") != title_form("title_b"))).select("a", "b")
+        pairs = pairs.unionByName(_long_pairs(nodes, counts, total))
+    return checked(pairs.distinct(), nodes, nodes).filter("fa != fb").select("a", "b")
+
 
+def checked(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, fa, fb, wa, wb) of the pairs whose words pass the exact test; forms and words come from (nid, fh, ws)."""
+    side = lambda d, s: d.select(F.col("nid").alias(s), F.col("fh").alias(f"f{s}"), F.col("ws").alias(f"w{s}"))
+    return pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").filter(alike(F.col("wa"), F.col("wb")))
 
-def _long_pairs(titles: DataFrame, counts, total: int) -> DataFrame:
+
+def _long_pairs(nodes: DataFrame, counts, total: int) -> DataFrame:
     """Candidates with at least one title longer than SHORT; of the shorter ones only blocks that a long title has."""
-    cut = blocks(titles.filter(F.size("ws") > SHORT), counts, total, SHORT + 1, short=False).repartition("key").dropDuplicates(["key", "nid", "skips"]).persist()
-    bits = bitmaps.bitmap_bits(cut.count())
-    packed = bitmaps.build(cut, "key", bits)
-    less = bitmaps.keep(blocks(titles.filter(F.size("ws").between(MEETS_LONG, SHORT)), counts, total, MEETS_LONG, short=False), "key", packed, bits)
-    a, b = cut.alias("a"), cut.unionByName(less.dropDuplicates(["key", "nid", "skips"])).alias("b")
+    cut = materialize(blocks(nodes.filter(F.size("ws") > SHORT), counts, total, SHORT + 1, short=False), "long-blocks")
+    less = blocks(nodes.filter(F.size("ws").between(MEETS_LONG, SHORT)), counts, total, MEETS_LONG, short=False)
+    less = materialize(bitmaps.keep(less, "key", cut, "key"), "met-blocks")
     one_way = (F.col("a.nid") < F.col("b.nid")) | (F.col("b.size") <= SHORT)
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.nid") != F.col("b.nid")) & one_way & close("a", "b"))
-    return near.select(F.least("a.nid", "b.nid").alias("a"), F.greatest("a.nid", "b.nid").alias("b"))
+    near = split_join(cut, cut.unionByName(less), (F.col("a.nid") != F.col("b.nid")) & one_way & close("a", "b"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_pairs(jobs: DataFrame, key: str = "job_id") -> DataFrame:
     """(job_a, job_b), job_a < job_b: rows whose titles are alike but have different forms.
 
-    Titles of fewer than six words, null and empty ones are alike to none.
+    Titles of fewer than six words, null and empty ones are alike to none. The pairs of rows are the members of alike
+    nodes, multiplied out; ``near_classes`` gives one row for each member instead.
     """
     titles = titled(jobs, key)
-    members = titles.select("nid", "key")
+    members = materialize(titles.select("nid", "key"), "members")
     side = lambda s: members.select(F.col("nid").alias(s), F.col("key").alias(f"job_{s}"))
     rows = alike_nodes(titles).join(side("a"), "a").join(side("b"), "b")
     return rows.select(F.least("job_a", "job_b").alias("job_a"), F.greatest("job_a", "job_b").alias("job_b"))
@@ -64,8 +67,9 @@ def near_classes(jobs: DataFrame, key: str = "job_id") -> DataFrame:
     A class is a connected component of alike titles and of equal ones; links counts alike nodes of another form.
     """
     titles = titled(jobs, key)
-    members = titles.groupBy("nid").agg(F.min("key").alias("rep"))
     edges = materialize(alike_nodes(titles), "near-edges")
+    titles = materialize(titles.select("nid", "key"), "members")
+    members = titles.groupBy("nid").agg(F.min("key").alias("rep"))
     named = edges.join(members.toDF("a", "ra"), "a").join(members.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     labels = components(named)
     degree = edges.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count("*").alias("links"))

@@ -45,9 +45,9 @@ def p4_truth(spark: SparkSession, d: str) -> DataFrame:
     return survivors.discover_truth(read_table(spark, d, "jobs"))
 
 
-def _probe(spark: SparkSession, d: str) -> linkage.Probe:
+def _probe(spark: SparkSession, d: str, links: bool = False) -> linkage.Probe:
     """An index of jobs, made once, and all batches of incoming in their order against it."""
-    index = linkage.LinkageIndex.create(read_table(spark, d, "jobs"), scratch_path(spark, "linkage"))
+    index = linkage.LinkageIndex.create(read_table(spark, d, "jobs"), scratch_path(spark, "linkage"), links=links)
     return linkage.Probe(index, read_table(spark, d, "incoming"), "incoming_id", "batch_id")
 
 
@@ -56,7 +56,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
-    return _probe(spark, d).links()
+    probe = _probe(spark, d, links=True)
+    return probe.links().join(probe.clusters(), "incoming_id")
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return _probe(spark, d, links=True).clusters()
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -80,4 +85,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_collapsed, p3_found, p3_kinds, p4_found, p4_truth, p5_found, p5_links, p8_pack, p8_fill, p9_mix, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_collapsed, p3_found, p3_kinds, p4_found, p4_truth, p5_found, p5_links, p5_clusters, p8_pack, p8_fill, p9_mix, p9_shares, p10_found)}

@@ -1,5 +1,6 @@
 import random
 import re
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from boardwright.llm import blocking, copies, linkage, neardups, queries, residu
 from boardwright.session import scratch_path
 
 JOBS = "job_id long, title string, link string, org_key string, source string, scraped_at timestamp, apply_link string, pdf_link string, date string, nid long, h1 string"
+INCOMING = "incoming_id long, batch_id int, title string, link string, date string, org_key string"
 WORDS = "recruitment of clerk nurse post project engineer agra pune delhi board office notice walk in interview for grade two".split()
 
 
@@ -126,21 +128,84 @@ def test_copies(spark):
     assert copies.copies_found(df.limit(0)).collect() == [] and copies.collapsed(df.limit(0)).collect() == []
 
 
-def test_copies_with_a_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(copies, "MOST_BITS", 1 << 3)
+def test_copies_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(copies, "RANGE_BITS", 1 << 8)
     monkeypatch.setattr(copies, "SEGMENT_BITS", 1 << 3)
+    assert copies.ranges(200) == 10
     df = spark.createDataFrame(made(6, 200), JOBS)
     small = sorted(map(tuple, copies.copies_found(df).collect()))
     monkeypatch.undo()
     assert small == sorted(map(tuple, copies.copies_found(df).collect()))
 
 
+def test_singletons_are_not_shuffled_however_many_ranges(spark, monkeypatch):
+    """The share of distinct rows that the filter lets through stays small when the rows need many filters."""
+    df = spark.range(20_000).selectExpr("id as job_id", "concat('title ', id) as title", "concat('https://a.x/', id) as link")
+    monkeypatch.setattr(copies, "RANGE_BITS", 1 << 14)
+    monkeypatch.setattr(copies, "SEGMENT_BITS", 1 << 12)
+    assert copies.ranges(20_000) == 15
+    assert copies.probed(df, "job_id").filter("maybe").count() < 1000
+
+
+def brute_clusters(rows):
+    """Least (batch, id) of the cluster of each row (ref, title, link); rows without a form and of few words have none."""
+    parent = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    usable = [r for r in rows if len(words(r[1])) >= 6 or (form(r[1]) and link_form(r[2]))]
+    for i, a in enumerate(usable):
+        for b in usable[i + 1 :]:
+            same = form(a[1]) == form(b[1]) and form(a[1]) and link_form(a[2]) == link_form(b[2]) and link_form(a[2])
+            if same or is_alike(a[1], b[1]):
+                x, y = sorted((find(a[0]), find(b[0])))
+                parent[y] = x
+    return {r[0]: find(r[0]) for r in usable}
+
+
+def test_clusters(spark):
+    """The mapping after each batch is that of all rows so far; clusters merge, and only what is touched is written."""
+    rows = made(21, 110)
+    history, later = rows[:70], [(r[0], i // 20, *r[1:3], "1.1.2026", "o") for i, r in enumerate(rows[70:])]
+    # 901 is alike to two clusters of history that aren't alike to each other
+    history += [(500, "a b c d e f g h i j", "https://q/1", *history[0][3:]), (501, "c d e f g h i j k l", "https://q/2", *history[0][3:])]
+    later.append((901, 1, "b c d e f g h i j k", "https://q/3", "", "o"))
+    jobs, df = spark.createDataFrame(history, JOBS), spark.createDataFrame(later, INCOMING)
+    all_rows = [((-1, r[0]), r[1], r[2]) for r in history] + [((r[1], r[0]), r[2], r[3]) for r in later]
+    expected = brute_clusters(all_rows)
+    one = linkage.LinkageIndex.create(jobs, scratch_path(spark, "c1"), links=True, part_rows=20)
+    step = linkage.LinkageIndex(spark, shutil.copytree(one.path, scratch_path(spark, "c2")))
+    got = {r.incoming_id: (r.representative_batch, r.representative) for r in linkage.Probe(one, df, "incoming_id", "batch_id").clusters().collect()}
+    assert got == {r[0]: expected[r[1], r[0]] for r in later if (r[1], r[0]) in expected}
+    assert got[901] == (-1, 500)
+    for b in sorted({r[1] for r in later}):
+        batch, so_far = df.filter(F.col("batch_id") == b), brute_clusters([r for r in all_rows if r[0][0] <= b])
+        step.append(batch, "incoming_id", "batch_id")
+        got = {r.incoming_id: (r.representative_batch, r.representative) for r in linkage.Probe(step, batch, "incoming_id", "batch_id").clusters().collect()} if b else {}
+        assert not b or got == {r[0]: so_far[b, r[0]] for r in later if r[1] == b and (b, r[0]) in so_far}
+    assert (501,) in {(r.ref.id,) for r in spark.read.parquet(f"{step.path}/merges").collect()}
+
+
+def test_a_probe_reads_the_parts_of_its_keys(spark):
+    """A batch's reading is bounded by its keys, not by the history."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(8)), f"https://a.x/{i}", *made(1, 2)[0][3:]) for i in range(400)]
+    index = linkage.LinkageIndex.create(spark.createDataFrame(rows, JOBS), scratch_path(spark, "pruned"), part_rows=10)
+    probe = linkage.Probe(index, spark.createDataFrame([(1, 0, rows[7][1], "https://b/1", "", "o")], INCOMING), "incoming_id", "batch_id")
+    assert index.parts == 40 and {(r.incoming_id, r.kind) for r in probe.known().collect()} == {(1, "near")}
+    keys = blocking.blocks(probe.nodes, index.counts, index.total, blocking.MEETS_LONG)
+    parts = lambda d: d.select(F.regexp_extract(F.input_file_name(), r"part=(\d+)", 1).alias("p")).distinct().count()
+    assert 0 < parts(index._parts_of("blocks", keys, "key")) <= keys.count() < parts(spark.read.parquet(f"{index.path}/blocks"))
+
+
 def test_linkage(spark):
     rows = made(7, 300)
     history, later = rows[:180], rows[180:]
     index = linkage.LinkageIndex.create(spark.createDataFrame(history, JOBS), scratch_path(spark, "linkage"))
     inc = [(r[0], i // 40, r[1], r[2], "1.1.2026", "o") for i, r in enumerate(later)]
-    df = spark.createDataFrame(inc, "incoming_id long, batch_id int, title string, link string, date string, org_key string")
+    df = spark.createDataFrame(inc, INCOMING)
     got = {r.incoming_id: r.kind for r in linkage.Probe(index, df, "incoming_id", "batch_id").known().collect()}
     expected = {}
     for i, r in enumerate(later):
@@ -156,29 +221,26 @@ def test_linkage(spark):
     for b in sorted({x[1] for x in inc})[:2]:
         one = df.filter(F.col("batch_id") == b)
         again |= {r.incoming_id: r.kind for r in linkage.Probe(index, one, "incoming_id", "batch_id").known().collect()}
-        index.append(one, "incoming_id")
+        index.append(one, "incoming_id", "batch_id")
     assert again == {k: v for k, v in expected.items() if k in {x[0] for x in inc if x[1] < 2}}
-    links = {r.incoming_id: r for r in linkage.Probe(linkage.LinkageIndex.create(spark.createDataFrame(history, JOBS), scratch_path(spark, "l2")), df, "incoming_id", "batch_id").links().collect()}
-    for r in links.values():
-        assert r.match < r.incoming_id and r.representative <= r.match
-    empty = linkage.Probe(index, df.limit(0), "incoming_id", "batch_id")
-    assert empty.known().collect() == [] and empty.links().collect() == []
+    linked = linkage.LinkageIndex.create(spark.createDataFrame(history, JOBS), scratch_path(spark, "l2"), links=True)
+    links = {r.incoming_id: r for r in linkage.Probe(linked, df, "incoming_id", "batch_id").links().collect()}
+    assert set(links) == set(expected) and all((r.match_batch, r.match) < (b, i) for i, b in ((x[0], x[1]) for x in inc) if (r := links.get(i)))
+    empty = linkage.Probe(linked, df.limit(0), "incoming_id", "batch_id")
+    assert empty.known().collect() == [] and empty.links().collect() == [] and empty.clusters().collect() == []
 
 
 def test_linkage_without_history(spark):
     none = spark.createDataFrame([], JOBS)
     index = linkage.LinkageIndex.create(none, scratch_path(spark, "none"))
-    df = spark.createDataFrame([(1, 0, "a b c d e f g", "l", "", "o"), (2, 0, "a b c d e f h", "m", "", "o"), (3, 1, None, None, None, None)], "incoming_id long, batch_id int, title string, link string, date string, org_key string")
+    df = spark.createDataFrame([(1, 0, "a b c d e f g", "l", "", "o"), (2, 0, "a b c d e f h", "m", "", "o"), (3, 1, None, None, None, None)], INCOMING)
     assert {r.incoming_id: r.kind for r in linkage.Probe(index, df, "incoming_id", "batch_id").known().collect()} == {2: "near"}
 
 
-INCOMING = "incoming_id long, batch_id int, title string, link string, date string, org_key string"
-
-
 def test_links_of_all_known_rows(spark):
     """Repeats within the batches and copies of short titles are linked too: links() has the keys of known()."""
     rows = made(8, 240)
-    index = linkage.LinkageIndex.create(spark.createDataFrame(rows[:100], JOBS), scratch_path(spark, "l3"))
+    index = linkage.LinkageIndex.create(spark.createDataFrame(rows[:100], JOBS), scratch_path(spark, "l3"), links=True)
     more = ["solely in the batches a b c", "Solely, in the batches: a b c", "one two"]
     later = [(r[0], 1 + i // 40, r[1], r[2], "1.1.2026", "o") for i, r in enumerate(rows[100:])] + [(900 + i, 9, t, f"https://b.x/{i // 2}", "", "o") for i, t in enumerate([*more, "one two", "One two!"])]
     probe = linkage.Probe(index, spark.createDataFrame(later, INCOMING), "incoming_id", "batch_id")
@@ -192,7 +254,7 @@ def test_links_to_the_row_that_agrees_best(spark):
     title = "clerk post at agra board office"
     history = [(1, title, "https://a.x/1", "o", "s", None, None, "#", "1.1.2026", 7, "c"), (2, title, "https://a.x/2", "o", "s", None, None, "#", "2.1.2026", 7, "c")]
     history += [(3, "one two", "https://a.x/3", "o", "s", None, None, "#", "1.1.2026", 7, "c"), (4, "one two", "https://a.x/3", "o", "s", None, None, "#", "2.1.2026", 7, "c")]
-    index = linkage.LinkageIndex.create(spark.createDataFrame(history, JOBS).coalesce(1), scratch_path(spark, "best"))
+    index = linkage.LinkageIndex.create(spark.createDataFrame(history, JOBS).coalesce(1), scratch_path(spark, "best"), links=True)
     later = [(10, 1, title, "https://a.x/2", "2.1.2026", "o"), (11, 1, "One two", "https://a.x/3", "2.1.2026", "o"), (12, 2, title, "https://a.x/5", "5.1.2026", "o"), (13, 2, title, "https://a.x/5", "5.1.2026", "o")]
     got = {r.incoming_id: (r.match, r.from_history) for r in linkage.Probe(index, spark.createDataFrame(later, INCOMING), "incoming_id", "batch_id").links().collect()}
     assert got == {10: (2, True), 11: (4, True), 12: (1, True), 13: (12, False)}
