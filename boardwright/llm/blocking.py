@@ -229,6 +229,8 @@ def split_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFram
     hot = materialize(hot, "hot-blocks")
     pairs = lambda a, b, on: a.alias("a").join(b.alias("b"), on & condition).select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b"))
     same = F.col("a.key") == F.col("b.key")
+    if hot.isEmpty():
+        return pairs(left, right, same)
     cold = pairs(left.join(hot, "key", "left_anti"), right.join(hot, "key", "left_anti"), same)
     group = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

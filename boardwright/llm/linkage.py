@@ -48,9 +48,9 @@ _WORDS = "nid long, fh long, ws array<long>, home long"
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's nodes once."""
+    """The rows of each first column's value once in a batch: a hot value is one row in some thousands before it is shuffled."""
     for b in batches:
-        _, first = np.unique(b.column("nid").to_numpy(), return_index=True)
+        _, first = np.unique(b.column(0).to_numpy(), return_index=True)
         yield b.take(pa.array(first))
 
 
@@ -119,8 +119,8 @@ class LinkageIndex:
 
     def _add(self, rows: DataFrame, words: DataFrame) -> None:
         self._write(blocks(words, self.counts, self.total, SHORT + 1, home=True), "blocks", "key")
-        forms = canonical(rows, "ref", F.col("title"), F.col("link")).select("h1", "h2").distinct()
-        self._write(forms, "forms", "h1")
+        forms = canonical(rows, "ref", F.col("title"), F.col("link")).select("h1", "h2")
+        self._write(forms.mapInArrow(_once, "h1 long, h2 long"), "forms", "h1")
 
     def _add_rows(self, known: DataFrame) -> None:
         least = lambda d, *by: d.groupBy(*by).agg(F.min("ref").alias("ref"))
