@@ -21,7 +21,7 @@ SEED_PATHS = ("recruitment", "recruitments", "career", "careers", "jobs", "notic
 NOISE_SEGMENTS = ("index.html", "index.php", "index.asp", "index.aspx", "default.aspx", "en", "hi", "home", "page", "pages", "web", "static", "common", "content", "more", "category", "or", "and", "the", "in", "of")
 
 
-def _hit(text: Column, words: tuple[str, ...]) -> Column:
+def hit(text: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(F.lower(text).rlike("|".join(words)), F.lit(False)).cast("int")
 
 
@@ -36,17 +36,22 @@ def keyword_predicate(text: Column, words: list[str]) -> Column:
 
 def extraction_score(url: Column, text: Column, archived: Column | None = None) -> Column:
     """35 + 45 + 20 + 15 - 40 (and -50 in an archive): a link is kept from 35 on."""
+    return extraction_sum(url, hit(text, RELEVANT), hit(text, EXCLUDED), archived)
+
+
+def extraction_sum(url: Column, wanted: Column, noise: Column, archived: Column | None = None) -> Column:
+    """extraction_score, with what the text gives (1 or 0) worked out already."""
     low = F.lower(url)
     pdf = (low.endswith(".pdf") | low.contains(".pdf?")).cast("int")
-    noise = F.greatest(_hit(url, EXCLUDED), _hit(text, EXCLUDED))
-    score = 35 * _hit(url, RELEVANT) + 45 * _hit(text, RELEVANT) + 20 * F.coalesce(pdf, F.lit(0)) + 15 * _hit(url, PATH_HINTS) - 40 * noise
+    bad = F.greatest(hit(url, EXCLUDED), noise)
+    score = 35 * hit(url, RELEVANT) + 45 * wanted + 20 * F.coalesce(pdf, F.lit(0)) + 15 * hit(url, PATH_HINTS) - 40 * bad
     return score if archived is None else score - 50 * F.coalesce(archived, F.lit(False)).cast("int")
 
 
 def discovery_score(url: Column, text: Column, patterns: tuple[str, ...]) -> Column:
     """40 for a pattern in the URL, 30 in the text, 20 for a bonus word, -20 for a penalty; not below 0."""
-    bad = F.greatest(_hit(url, PENALTY), _hit(text, PENALTY))
-    return F.greatest(F.lit(0), 40 * _hit(url, patterns) + 30 * _hit(text, patterns) + 20 * _hit(text, BONUS) - 20 * bad)
+    bad = F.greatest(hit(url, PENALTY), hit(text, PENALTY))
+    return F.greatest(F.lit(0), 40 * hit(url, patterns) + 30 * hit(text, patterns) + 20 * hit(text, BONUS) - 20 * bad)
 
 
 def strength(score: Column) -> Column:
@@ -84,7 +89,7 @@ def learned_score(links: DataFrame, vocabulary: DataFrame, key: str, url: str, t
     base = links.select(F.col(key), F.col(url).alias("u"), F.col(text).alias("t"), fam.alias("family"))
     both = F.concat_ws("\n", F.lower("u"), F.lower("t"))
     minus = sum([F.when(both.contains(w), 2.0).otherwise(0.0) for w in NAVIGATION], F.lit(0.0))
-    plain = 3.0 * _hit(F.col("t"), CAREER_TERMS) + F.when(F.lower("u").endswith(".pdf"), 1.0).otherwise(0.0) - minus
+    plain = 3.0 * hit(F.col("t"), CAREER_TERMS) + F.when(F.lower("u").endswith(".pdf"), 1.0).otherwise(0.0) - minus
     seg = base.select(key, "family", F.explode_outer(F.transform(path_segments(F.col("u")), F.lower)).alias("segment"), plain.alias("plain"))
     totals = vocabulary.select("family", "total").distinct()
     found = seg.join(vocabulary.select("family", "segment", "n"), ["family", "segment"], "left").join(F.broadcast(totals), "family", "left")
