@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwright.llm.copies import SEGMENT_BITS, filter_bits, ranges
+from boardwright.llm.copies import RANGE_BITS, SEGMENT_BITS, filter_bits, ranges
 
 #: Bits of a bitmap for each key.
 BITS_PER_KEY = 16
 _WIDTH = SEGMENT_BITS // 8
+__all__ = ["BITS_PER_KEY", "RANGE_BITS", "build", "filter_bits", "holds", "keep"]
 
 
 def slots(keys: np.ndarray, bits: int) -> np.ndarray:

@@ -283,7 +283,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST_CHARS, key: str = "doc
 
     names = once.mapInArrow(_symbols(least), "name long, id long")
     shared = names.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("name").persist()
-    bits = bitmaps.bitmap_bits(shared.count())
+    bits = min(bitmaps.filter_bits(shared.count(), bitmaps.BITS_PER_KEY), bitmaps.RANGE_BITS)  # beyond that more stretches are candidates, none is lost
     packed = spark.sparkContext.broadcast(bitmaps.build(shared, "name", bits))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST_CHARS, key: str = "doc
                 yield r.stretches(r.open(known[part], least), least).select(["h"])
 
     asked = held.join(by_text, "id", "left").mapInArrow(questions, "h long").persist()
-    ask_bits = bitmaps.bitmap_bits(asked.count())
+    ask_bits = min(bitmaps.filter_bits(asked.count(), bitmaps.BITS_PER_KEY), bitmaps.RANGE_BITS)
     asked_for = spark.sparkContext.broadcast(bitmaps.build(asked, "h", ask_bits))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
