@@ -121,16 +121,47 @@ def word_pairs(tokens: DataFrame, key: str, words: str, window: int = 2) -> Data
     return pairs.filter("word != context")
 
 
-def title_vectors(titles: DataFrame, key: str, tokens: str, embeddings: DataFrame, profile: list[str], weight: float = 2.0) -> DataFrame:
-    """(key, dim, x): weighted mean of the vectors of a title's words, words of the profile counting ``weight`` times.
+def title_vectors(titles: DataFrame, key: str, tokens: str, embeddings: DataFrame, profile: tuple[str, ...], weight: float = 2.0) -> DataFrame:
+    """(key, x): weighted mean of the vectors of a title's words, words of the profile counting ``weight`` times.
 
-    embeddings: (word, vec), joined by word; titles without a known word have no row.
+    embeddings: (word, vec), joined by word; titles without a known word have no row. A title's words are folded at once.
     """
-    flat = titles.select(key, F.explode(tokens).alias("word"))
-    counted = flat.groupBy(key, "word").agg(F.count("*").alias("tf"))
+    counted = titles.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
     w = F.col("tf") * F.when(F.col("word").isin(*profile), F.lit(weight)).otherwise(F.lit(1.0))
-    known = counted.join(embeddings, "word").select(key, w.alias("w"), F.posexplode("vec").alias("dim", "v"))
-    return known.groupBy(key, "dim").agg((F.sum(F.col("w") * F.col("v").cast("double")) / F.sum("w")).alias("x"))
+    known = counted.join(embeddings, "word").select(key, F.struct("word", w.alias("w"), F.transform("vec", lambda x: x.cast("double")).alias("v")).alias("e"))
+    each = known.groupBy(key).agg(F.sum("e.w").alias("sum"), F.array_sort(F.collect_list("e")).alias("es"))  # at most a title's words, in one order
+    scaled = F.transform("es", lambda e: F.transform(e["v"], lambda x: x * e["w"]))
+    zero = F.transform(F.get(scaled, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(scaled, zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return each.select(key, "sum", total.alias("t")).select(key, F.transform("t", lambda x: x / F.col("sum")).alias("x"))
+
+
+def profile_similarity(titles: DataFrame, key: str, tokens: str, embeddings: DataFrame, wanted: tuple[str, ...], unwanted: tuple[str, ...]) -> DataFrame:
+    """(key, wanted, unwanted): cosines of a title's vector to the mean vectors of two profiles; 0 where a profile or a title has no known word.
+
+    The profiles are word lists of the caller, their means become literals.
+    """
+    rows = embeddings.filter(F.col("word").isin(*wanted, *unwanted)).groupBy("word").agg(F.first("vec").alias("vec")).collect()  # at most the profiles' words
+
+    def mean(words: tuple[str, ...]) -> list[float]:
+        own = [[float(x) for x in r.vec] for r in sorted(rows) if r.word in words]
+        return [sum(c) / len(own) for c in zip(*own)]
+
+    vectors = title_vectors(titles, key, tokens, embeddings, (*wanted, *unwanted))
+    to = lambda m: cosine(F.col("x"), F.array(*[F.lit(v) for v in m])) if m else F.lit(0.0)
+    known = vectors.select(key, to(mean(wanted)).alias("wanted"), to(mean(unwanted)).alias("unwanted"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return titles.select(key).join(known, key, "left").select(key, zero("wanted"), zero("unwanted"))
+
+
+def train_word_vectors(titles: DataFrame, tokens: str, size: int = 16, window: int = 2, least: int = 2, rounds: int = 5, seed: int = 42) -> DataFrame:
+    """(word, vec): skip-gram vectors of the words that occur at least ``least`` times (hierarchical softmax in place of negative samples)."""
+    from pyspark.ml.feature import Word2Vec
+
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=rounds, seed=seed, inputCol=tokens, outputCol="_v").fit(titles.filter(F.size(tokens) > 1))
+    from pyspark.ml.functions import vector_to_array
+
+    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
 def subset_embeddings(embeddings: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwright.functions.text import host, is_pdf_link, title_key, url_key
+from boardwright.functions.text import host, is_pdf_link, strip, title_key, url_key
 from boardwright.operators.components import components
 
 #: Suffixes that make the last three, or the last two, labels of a host a domain of its own.
@@ -51,18 +52,24 @@ class Scan:
 
     def __init__(self):
         self.groups: list[dict] = []
-        self.by_url: dict[str, set[int]] = {}
-        self.by_title: dict[str, list[int]] = {}
+        self.by_url: dict[str, int] = {}
+        self.lacking: dict[tuple[str, str], deque[int]] = {}  # groups of a title that lack a link of a kind, in order; filled ones go when met
 
     def add(self, pos: int, title: str, link: str, date: str, relevance: str, title_key: str, url: str, is_pdf: bool) -> None:
         slot = "pdf" if is_pdf else "apply"
-        fits = set(self.by_url.get(url, ())) if url else set()
-        if len(title_key) > 8 and title_key not in GENERIC_KEYS:
-            fits |= {next(g for g in self.by_title[title_key] if not self.groups[g][slot])} if self._open(title_key, slot) else set()
+        fits = [self.by_url[url]] if url in self.by_url else []
+        named = len(title_key) > 8 and title_key not in GENERIC_KEYS
+        if named:
+            waiting = self.lacking.setdefault((title_key, slot), deque())
+            while waiting and self.groups[waiting[0]][slot]:
+                waiting.popleft()
+            fits += waiting and [waiting[0]]
         if not fits:
             at = len(self.groups)
             self.groups.append({"pos": pos, "title": title, "date": date, "relevance": relevance, "apply": "", "pdf": "", "members": 1})
-            self.by_title.setdefault(title_key, []).append(at)
+            if named:
+                for kind in ("apply", "pdf"):
+                    self.lacking.setdefault((title_key, kind), deque()).append(at)
         else:
             at = min(fits)
             g = self.groups[at]
@@ -72,10 +79,7 @@ class Scan:
         if not self.groups[at][slot]:
             self.groups[at][slot] = link
             if url:
-                self.by_url.setdefault(url, set()).add(at)
-
-    def _open(self, title_key: str, slot: str) -> bool:
-        return any(not self.groups[g][slot] for g in self.by_title.get(title_key, ()))
+                self.by_url[url] = min(at, self.by_url.get(url, at))
 
     def rows(self, key: str) -> list[tuple]:
         return [(key, g["pos"], g["title"], g["apply"] or g["pdf"], g["apply"], g["pdf"], g["date"], g["relevance"], g["members"]) for g in self.groups]
@@ -122,9 +126,10 @@ def merge_postings(postings: DataFrame, run: str | None = None, key: Column | No
     than eight characters) if the group lacks a link of its kind. Not transitive, so no connected components. The
     scan is sequential by definition. Where an org (or run of one) has more than SCAN_ROWS rows, it is cut first into
     parts that can't touch one another, with the same result.
-    Null fields count as ''; rows without an org take no part.
+    Null fields count as '', titles and links are stripped; rows without an org and without a title take no part.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    postings = postings.withColumns({"title": strip(F.col("title")), "link": strip(F.col("link"))}).filter("title != ''")
     rows = postings.filter("org_key is not null").select(
         *([F.col(run).cast("long").alias("_run")] if run else []), "org_key", "pos", text("title"), text("link"), text("date"), text("relevance"),
     )

@@ -39,25 +39,25 @@ def flexible_records(feeds: DataFrame, key: str, body: str, base: Column) -> Dat
 
 
 def paged_records(feeds: DataFrame, key: str, body: str, org: Column, link: Column) -> DataFrame:
-    """(key, id, title, link) of pages of ``data.content``: 'org - title (up to three places)', the first of each id."""
+    """(key, id, title, link) of pages of ``data.content``: 'org - title (up to three places)', the first of each id of a feed."""
     schema = "struct<data: struct<content: array<struct<id: string, title: string, locations: array<string>>>>>"
     rows = feeds.select(key, org.alias("org"), link.alias("link"), F.posexplode(F.from_json(F.col(body), schema)["data"]["content"]).alias("pos", "r"))
     places = F.concat_ws(", ", F.slice(F.coalesce("r.locations", F.array().cast("array<string>")), 1, 3))
     title = F.concat(F.col("org"), F.lit(" — "), F.col("r.title"), F.when(places != "", F.concat(F.lit(" ("), places, F.lit(")"))).otherwise(""))
     ready = rows.select(key, "pos", F.col("r.id").alias("id"), title.alias("title"), "link").filter("id is not null")
-    return ready.groupBy("id").agg(F.min_by(F.struct(key, "title", "link"), F.struct(key, "pos")).alias("b")).select("id", "b.*")
+    return ready.groupBy(key, "id").agg(F.min_by(F.struct("title", "link"), "pos").alias("b")).select(key, "id", "b.*")
 
 
 def centre_records(feeds: DataFrame, key: str, body: str, centre: str) -> DataFrame:
-    """(title, link, date, centre): records of a centre's list, which may be a list of lists; titles may be HTML or a slug;
-    the date is the expiry, else the event's; the first of each title and link."""
+    """(key, title, link, date, centre): records of a centre's list, which may be a list of lists; titles may be HTML or a slug;
+    the date is the expiry, else the event's; the first of each title and link of a feed."""
     one = "array<struct<title: string, slug: string, link: string, event_date: string, expiry_date: string>>"
     flat = F.coalesce(F.flatten(F.from_json(F.col(body), f"array<{one}>")), F.from_json(F.col(body), one))
     rows = feeds.select(key, centre, F.posexplode(flat).alias("pos", "r"))
     title = F.coalesce(F.nullif(_plain(F.col("r.title")), F.lit("")), F.trim(F.replace(F.col("r.slug"), F.lit("-"), F.lit(" "))))
     date = F.coalesce(F.nullif("r.expiry_date", F.lit("")), F.nullif("r.event_date", F.lit("")), F.lit(""))
     ready = rows.select(key, centre, "pos", title.alias("title"), F.coalesce("r.link", F.lit("")).alias("link"), date.alias("date")).filter("title is not null")
-    return ready.groupBy("title", "link").agg(F.min_by(F.struct("date", centre), F.struct(key, "pos")).alias("b")).select("title", "link", "b.*")
+    return ready.groupBy(key, "title", "link").agg(F.min_by(F.struct("date", centre), F.struct(centre, "pos")).alias("b")).select(key, "title", "link", "b.*")
 
 
 def department_records(feeds: DataFrame, key: str, body: str, base: Column) -> DataFrame:

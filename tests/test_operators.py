@@ -35,6 +35,8 @@ def naive(rows):
 
     rank, groups = {"relevant": 2, "uncertain": 1, "excluded": 0}, []
     for pos, (title, link, date, rel) in enumerate(rows, 1):
+        if not title:
+            continue
         pdf = link.lower().endswith(".pdf") or ".pdf?" in link.lower()
         key = re.sub("[^a-z0-9]+", " ", title.lower()).strip()
         hit = None
@@ -67,8 +69,8 @@ def test_merge_against_plain_scan(spark, seed, monkeypatch):
 
 
 def test_merge_nulls_and_empty(spark):
-    df = spark.createDataFrame([("o", 1, None, None, None, None), (None, 2, "t", "l", "d", "x")], POSTING)
-    assert [tuple(r) for r in resolve.merge_postings(df).collect()] == [("o", 1, "", "", "", "", "", "", 1)]
+    df = spark.createDataFrame([("o", 1, None, None, None, None), ("o", 2, " \t", "l", "d", "x"), (None, 3, "t", "l", "d", "x"), ("o", 4, " t ", None, None, None)], POSTING)
+    assert [tuple(r) for r in resolve.merge_postings(df).collect()] == [("o", 4, "t", "", "", "", "", "", 1)]  # untitled postings take no part
     assert resolve.merge_postings(df.limit(0)).collect() == []
 
 
@@ -106,10 +108,22 @@ def test_layers(spark):
 
 
 def test_models_decide_open_rows_only(spark):
-    rows = spark.createDataFrame([(1, "o", "uncertain", "C14"), (2, "o", "relevant", "C4"), (3, "bank_a", "uncertain", "C14"), (4, "o", "uncertain", "C14")], "k long, org_key string, relevance string, decided_by string")
-    margins = spark.createDataFrame([(1, 3.0), (2, -9.0), (3, -9.0)], "k long, margin double")
-    got = {r.k: (r.relevance, r.decided_by) for r in classify.with_models(rows, margins, POSTINGS, "k").collect()}
-    assert got == {1: ("relevant", "C7"), 2: ("relevant", "C4"), 3: ("uncertain", "C14"), 4: ("uncertain", "C14")}
+    """Layers C1, C7, C10 and C13 in their places: before C8, before C11 and before C14."""
+    from dataclasses import replace
+
+    v = replace(POSTINGS, names=(r"(?i)\bstaff nurse institute\b",))
+    rows = [
+        (1, "o", "Young Professional", "", 3.0, "C7"), (2, "o", "Database Architect", "", -9.0, "C4"), (3, "bank_a", "Plain title", "", -9.0, "C14"), (4, "o", "Plain title", "", -9.0, "C7"),
+        (5, "o", "Plain title", "", 9.0, "C14"), (6, "o", "wantedword title", "", 0.0, "C10"), (7, "o", "unwantedword title", "", 0.0, "C10"), (8, "lab_nisrolmaium", "unwantedword title", "", 0.0, "C10"),
+        (9, "o", "Plain title", "https://a/file/1", 0.0, "C13"), (10, "o", "Staff Nurse Institute clerk", "", 0.0, "C14"), (11, "lab_nisrolmaium", "Plain title", "", 0.0, "C11"), (12, "o", "museum", "", 3.0, "C8"),
+    ]
+    df = spark.createDataFrame([r[:4] for r in rows], "k long, org_key string, title string, link string").withColumn("date", F.lit(""))
+    margins = spark.createDataFrame([(r[0], r[4]) for r in rows if r[4]], "k long, margin double")
+    words = [("computer", [1.0, 0.0]), ("wantedword", [1.0, 0.1]), ("medical", [0.0, 1.0]), ("unwantedword", [0.1, 1.0])]
+    texts = spark.createDataFrame([("https://a/file/1", "x " * 40), ("https://a/file/1", "y " * 40)], "link string, text string")
+    got = classify.annotate_with_models(df, v, "k", lambda _: margins, spark.createDataFrame(words, "word string, vec array<double>"), texts, ("degree",)).collect()
+    assert {r.k: r.decided_by for r in got} == {r[0]: r[5] for r in rows}
+    assert {r.k: r.relevance for r in got if r.decided_by in ("C7", "C10", "C13")} == {1: "relevant", 4: "excluded", 6: "relevant", 7: "excluded", 8: "excluded", 9: "excluded"}
 
 
 def test_proximity_windows(spark):
@@ -143,8 +157,9 @@ def test_nearest_in_blocks(spark):
 def test_vectors(spark):
     e = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, vec array<double>")
     t = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["z"])], "k long, w array<string>")
-    got = {(r.k, r.dim): round(r.x, 6) for r in models.title_vectors(t, "k", "w", e, ["a"]).collect()}
-    assert got == {(1, 0): 0.5, (1, 1): 0.5}
+    assert {r.k: [round(x, 6) for x in r.x] for r in models.title_vectors(t, "k", "w", e, ("a",)).collect()} == {1: [0.5, 0.5]}
+    got = {r.k: (round(r.wanted, 6), r.unwanted) for r in models.profile_similarity(t, "k", "w", e, ("a",), ("none",)).collect()}
+    assert got == {1: (round(0.5**0.5, 6), 0.0), 2: (0.0, 0.0)}
     assert models.subset_embeddings(e, spark.createDataFrame([("a",), ("a",)], "word string")).count() == 1
 
 
