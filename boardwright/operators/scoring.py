@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def extraction_score(url: Column, text: Column, archived: Column | None = None)
     return extraction_sum(url, hit(text, RELEVANT), hit(text, EXCLUDED), archived)
 
 
-def extraction_sum(url: Column, wanted: Column, noise: Column, archived: Column | None = None) -> Column:
-    """extraction_score, with what the text gives (1 or 0) worked out already."""
+def extraction_sum(url: Column, wanted: Column, noise: Column, archived: Column | None = None, hit: Callable = hit) -> Column:
+    """extraction_score, with what the text gives (1 or 0) worked out already. hit: what looks for the words."""
     low = F.lower(url)
     pdf = (low.endswith(".pdf") | low.contains(".pdf?")).cast("int")
     bad = F.greatest(hit(url, EXCLUDED), noise)

@@ -68,6 +68,26 @@ def test_plain_tags_are_read_as_by_the_parser():
     assert [html._joined("https://z.example/p/", x) for x in links] == [html.urljoin("https://z.example/p/", x) for x in links]
 
 
+def test_short_cuts_of_the_rules(spark):
+    """Sure words, plain words and the dates' common beginning decide as the whole rules do."""
+    import random
+
+    from boardwright.functions.dates import find_date
+    from boardwright.functions.text import information_left
+    from boardwright.operators.scoring import EXCLUDED, RELEVANT, hit
+
+    parts = ["view", "more", " ", "  ", "12", "2026", "Dec", "december", "Decemberx", "here", "there", "Clerk", "ad", "advt", "-", "/", ".", ",", "_", "पद", "É", "İş", "1st", "Jan 5, 2026", "05/03/2026", "2026-01-02", "sign-in", "tender", "project associate", "skip to", "read", "old", "mayor", "PDF", "apply online", "(", ")"]
+    rng = random.Random(7)
+    texts = [(rng.choice((" ", "")).join(rng.choices(parts, k=rng.randint(0, 7))),) for _ in range(4000)]
+    t = F.col("t")
+    bare = F.trim(F.regexp_replace(t, r"[\s,.\-|]+$", ""))
+    generic = (F.length(bare) < 4) | F.lower(bare).isin(*html.BARE_TITLES) | (information_left(bare) < 4)
+    says = information_left(F.regexp_replace(t, html.AROUND_PHRASES, " ")) >= 4
+    pairs = [(html._generic(t), generic), (html._says(t), says), (html._date(t), find_date(t)), (html._hit(t, RELEVANT), hit(t, RELEVANT)), (html._hit(t, EXCLUDED), hit(t, EXCLUDED))]
+    rows = spark.createDataFrame(texts, "t string")
+    assert [rows.filter(~a.eqNullSafe(b)).collect() for a, b in pairs] == [[]] * len(pairs)
+
+
 def test_malformed_page(spark):
     bad = "<div><p>a<p>b<b>c<li><a href='/careers/x'>Recruitment <i>of</i> Clerk" + PAD
     assert [r.link for r in html.extract_postings(pages(spark, bad)).collect()] == ["https://a.example/careers/x"]
